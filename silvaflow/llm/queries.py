@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid, secret_scan, toxicity, trie_bpe
 from .common import table, tokenizer_path
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
 
 
+def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
@@ -17,10 +22,26 @@ def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op2_crf_toxicity": op2_crf_toxicity,
         "op3_token_files": op3_token_files,
         "op5_hierarchical_packing": op5_hierarchical_packing,
+        "op7_trie_bpe": op7_trie_bpe,
+        "op8_ppm_language": op8_ppm_language,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 

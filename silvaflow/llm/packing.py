@@ -66,7 +66,7 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[
                 gap = 0
 
     for tier, below in zip(reversed(tiers), [*reversed(tiers[:-1]), 0]):
-        while rest and rest[-1][0] > below and left >= tier:
+        while rest and below < rest[-1][0] <= tier <= left:
             n, doc, start = rest.pop()
             window = [(doc, start, n)]
             fill(window, tier - n)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, secret_scan, toxicity, trie_bpe
+from . import exact_dedup, langid, secret_scan, topk, toxicity, trie_bpe
 from .common import table, tokenizer_path
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,6 +22,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -36,8 +44,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_exact_dedup": op1_exact_dedup,
         "op2_crf_toxicity": op2_crf_toxicity,
         "op3_token_files": op3_token_files,
+        "op4_exact_topk": op4_exact_topk,
         "op5_hierarchical_packing": op5_hierarchical_packing,
         "op7_trie_bpe": op7_trie_bpe,
         "op8_ppm_language": op8_ppm_language,
@@ -46,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op4_exact_topk": topk.ORACLE_SQL}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -94,23 +95,32 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _model(self, piece: str) -> list[int]:
-        if not (piece.isascii() and piece.isalpha()):
-            piece = piece.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.library.model.tokenize(piece)]
+    def _ids(self, pieces: list[str]) -> bytes:
+        ids = array("I")
+        for piece in pieces:
+            if not (piece.isascii() and piece.isalpha()):
+                piece = piece.encode().decode("latin-1").translate(self.letters)
+            ids.extend([t.id for t in self.library.model.tokenize(piece)])
+        return ids.tobytes()
+
+    def _split(self, chunk: str, before: str = "") -> list[str]:
+        """The pattern's pieces; a word, alone or with a comma or full stop after it, needs no search."""
+        if chunk.isalpha():
+            return [before + chunk]
+        if chunk[-1] in ",." and chunk[:-1].isalpha():
+            return [before + chunk[:-1], chunk[-1]]
+        return self.pieces.findall(before + chunk)
 
     def _words(self, chunk: str) -> bytes:
-        if not chunk.isascii():
-            chunk = self.library.normalizer.normalize_str(chunk)
-        pieces = [chunk] if chunk.isalpha() else self.pieces.findall(chunk)
-        return np.asarray([i for p in pieces for i in self._model(p)], dtype="<u4").tobytes()
+        return self._ids(self._split(chunk)) if chunk else b""
 
     def _spaced(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if chunk[0] != "\n":  # the mark of a text's first chunk, which has no space before it, is U+0000
-            chunk = chunk[1:] if chunk[0] == "\0" else " " + chunk
-        return np.asarray([i for p in self.pieces.findall(chunk) for i in self._model(p)], dtype="<u4").tobytes()
+        if chunk[0] == "\n":
+            return self._ids(self.pieces.findall(chunk))
+        # U+0000 marks a text's first chunk, which has no space before it
+        return self._ids(self.pieces.findall(chunk[1:]) if chunk[0] == "\0" else self._split(chunk, " "))
 
     def _cut(self, texts: list[str]) -> pa.ListArray:
         if self.kind == "words":

@@ -62,3 +62,16 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], size: str, rows: int, parts: int = 1000) -> DataFrame:
+    """left inner-joined to right, which has one row for each key and in `size` the number of left's rows.
+
+    Keys with 1/parts of all rows or more are at most `parts`, so these join by broadcast and their
+    rows stay where they are; the others are shuffled, none of them large.
+    """
+    heavy = F.col(size) * parts >= rows
+    marked = left.join(F.broadcast(right.filter(heavy)), keys, "left")
+    new = [c for c in right.columns if c not in keys]
+    few = marked.filter(F.col(size).isNull()).drop(*new).join(right.filter(~heavy), keys)
+    return few.unionByName(marked.filter(F.col(size).isNotNull()).select(*few.columns))

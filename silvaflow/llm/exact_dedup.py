@@ -10,8 +10,8 @@ digest and settled exactly.
 Sizes: a filter has BITS_PER_ROW bits a row up to 2**MOST_LOG2_BITS (32 MB), so what is broadcast is
 bounded. Beyond some 27 million rows the filter grows fuller and lets more lone rows through; then
 more digests (never texts, for digests()) are shuffled, and the result stays exact. Filters travel
-in slices and tasks merge slices one row at a time. A digest with 1/HEAVY of all rows or more joins
-by broadcast, as there are HEAVY such digests at most; partial aggregation comes before every
+in slices and tasks merge slices one row at a time. A digest with a thousandth of all rows or more
+joins by broadcast, as there are a thousand such digests at most; partial aggregation comes before every
 shuffle, so a group of any size is spread over the cluster.
 
 Texts are equal when identical; null counts as empty. Of equal texts the row with the largest
@@ -26,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import join_skewed, texts, written
 
 BITS_PER_ROW, PROBES, LEAST_LOG2_BITS, MOST_LOG2_BITS = 16, 6, 16, 28
 SLICE_BYTES = 1 << 13
-HEAVY = 1000
 
 
 def places(hashes: np.ndarray, log2_bits: int) -> np.ndarray:
@@ -116,12 +115,9 @@ def digests(docs: DataFrame) -> DataFrame:
     alone = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     rest = flagged.filter("maybe").select("doc_id", "digest", "row")
     each = written(rest.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")), "groups")
-    heavy = F.col("group_size") * HEAVY >= n
-    columns = ["doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest"]
-    marked = rest.join(F.broadcast(each.filter(heavy)), "digest", "left")
-    few = marked.filter(F.col("group_size").isNull()).drop("keep", "group_size").join(each.filter(~heavy), "digest").select(*columns)
-    many = marked.filter(F.col("group_size").isNotNull()).select(*columns)
-    return alone.unionByName(few).unionByName(many).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+    joined = join_skewed(rest, each, ["digest"], "group_size", n)
+    settled = joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest")
+    return alone.unionByName(settled).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, secret_scan, topk, toxicity, trie_bpe
+from . import exact_dedup, langid, ngram_join, secret_scan, topk, toxicity, trie_bpe
 from .common import table, tokenizer_path
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
@@ -30,6 +30,10 @@ def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -49,6 +53,7 @@ def queries() -> dict:
         "op3_token_files": op3_token_files,
         "op4_exact_topk": op4_exact_topk,
         "op5_hierarchical_packing": op5_hierarchical_packing,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_trie_bpe": op7_trie_bpe,
         "op8_ppm_language": op8_ppm_language,
         "op10_secret_scan": op10_secret_scan,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, ngram_join, secret_scan, topk, toxicity, trie_bpe
+from . import exact_dedup, langid, ngram_join, pii, secret_scan, topk, toxicity, trie_bpe
 from .common import table, tokenizer_path
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
@@ -42,6 +44,10 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), os.environ.get("SILVAFLOW_PII_KEY", "an example key"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def queries() -> dict:
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_trie_bpe": op7_trie_bpe,
         "op8_ppm_language": op8_ppm_language,
+        "op9_feistel_pii": op9_feistel_pii,
         "op10_secret_scan": op10_secret_scan,
     }
 

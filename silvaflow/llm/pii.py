@@ -29,7 +29,7 @@ IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])"
 DATE = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-PHONE = r"(?<![0-9A-Za-z+(])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
+PHONE = r"(?<![0-9A-Za-z+(])(?:\+?1[ .-]?)?(?:\([1-9][0-9]{2}\)[ .-]?|[1-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 ANY = "|".join((EMAIL, IBAN, DATE, IPV4, SSN, PHONE, CARD))
 KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card")
@@ -149,7 +149,7 @@ def ssn(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    parts = r"^(.*?)([2-9])([0-9]{2})([^0-9]{0,2})([2-9])([0-9]{2})([^0-9]?)([0-9]{4})$"
+    parts = r"^(.*?)([1-9])([0-9]{2})([^0-9]{0,2})([2-9])([0-9]{2})([^0-9]?)([0-9]{4})$"
     g = lambda k: F.regexp_extract(m, parts, k)
     moved = feistel_text(F.concat(g(3), g(6), g(8)), key, "phone")
     return let(moved, lambda d: F.concat(g(1), g(2), F.substring(d, 1, 2), g(4), g(5), F.substring(d, 3, 2), g(7), F.substring(d, 5, 4)))

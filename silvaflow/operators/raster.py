@@ -141,7 +141,8 @@ def ring_area(ring: Column) -> Column:
 def ring_centroid(ring: Column) -> Column:
     e = _edges(ring)
     total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x["w"])
-    return F.struct(*[(F.aggregate(e, F.lit(0.0), lambda s, x, k=k: s + x[k] * x["w"]) / (3 * total)).alias(k) for k in ("x", "y")])
+    weighted = lambda k: F.aggregate(e, F.lit(0.0), lambda s, x: s + x[k] * x["w"]) / (3 * total)
+    return F.struct(weighted("x").alias("x"), weighted("y").alias("y"))
 
 
 #: An equal-area conic projection of the boreal zone: standard parallels, origin, sphere's radius.

@@ -72,11 +72,11 @@ def carbon_accumulation(df: DataFrame, key: Sequence[str], n: int = 5, skip_youn
     rate = F.zip_with(carbon, age, lambda c, a: F.when(a > 0, c / a).otherwise(F.lit(None).cast("double") if skip_young else F.lit(0.0)))
     out = df.withColumns({"_c": carbon, "_r": F.filter(rate, lambda x: x.isNotNull())})
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    squares = lambda draw, mean: total(F.transform(draw, lambda v: (v - mean) * (v - mean)))
     for name, draw in (("carbon", "_c"), ("accumulation", "_r")):
-        m = F.try_divide(total(F.col(draw)), F.size(draw))
-        out = out.withColumn(f"{name}_mean", m)
-        sd = F.sqrt(F.try_divide(total(F.transform(draw, lambda v, name=name: (v - F.col(f"{name}_mean")) * (v - F.col(f"{name}_mean")))), F.size(draw) - 1))
-        out = out.withColumn(f"{name}_sd", sd)
+        mean = F.col(f"{name}_mean")
+        out = out.withColumn(f"{name}_mean", F.try_divide(total(F.col(draw)), F.size(draw)))
+        out = out.withColumn(f"{name}_sd", F.sqrt(F.try_divide(squares(draw, mean), F.size(draw) - 1)))
         sem = F.col(f"{name}_sd") / F.sqrt(F.size(draw))
         wide = F.sqrt(F.col(f"{name}_sd") * F.col(f"{name}_sd") + sem * sem)
         out = out.withColumns({f"{name}_low": F.col(f"{name}_mean") - Z95 * sem, f"{name}_high": F.col(f"{name}_mean") + Z95 * sem, f"{name}_pi_low": F.col(f"{name}_mean") - Z95 * wide, f"{name}_pi_high": F.col(f"{name}_mean") + Z95 * wide})

@@ -32,6 +32,8 @@ near_duplicates(), kept by one_of_each().
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,14 +41,16 @@ from pyspark.sql import functions as F
 
 from .common import join_skewed, texts, written
 from .components import connected
+from .exact_dedup import BITS_PER_ROW, LEAST_LOG2_BITS, MOST_LOG2_BITS, SLICE_BYTES, probe, with_bits
 
 SHINGLE = 5
 BITS = 2048
 LEAVES, FANOUT = 32, 8
 #: What one task compares at a time: sets, and shingles in them; and sets outside the bulk in a block.
 CHUNK_SETS, CHUNK_SHINGLES, BLOCK_SETS, PIVOTS = 4096, 3_000_000, 1024, 64
-#: Rows of cells that a task folds at a time.
-FOLD_ROWS = 2_000_000
+#: Rows of cells that a task folds at a time; shingles of all documents whose cells make a part; bytes of a cell's key there.
+FOLD_ROWS, PART_SHINGLES, KEY_BYTES = 2_000_000, 1_000_000, 6
+KEY_MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -251,8 +255,33 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, written(linked.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.min("doc_id").alias("id"), F.count("*").alias("members")), "classes")
 
 
-def _groups(docs: DataFrame) -> DataFrame:
-    """lo, component: groups of sets (by the lower half of their digests) that share cells."""
+def pack_rows(keys: np.ndarray, ids: np.ndarray) -> bytes:
+    """Rows (48 bits of a key, id): ids by their distance from the least one, in as few bytes as that takes."""
+    base = int(ids.min())
+    away = (ids - base).astype("<u8")
+    width = max(1, (int(away.max()).bit_length() + 7) // 8)
+    return struct.pack("<qBI", base, width, len(ids)) + (keys & KEY_MASK).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() + away.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    base, width, n = struct.unpack_from("<qBI", blob)
+    at = struct.calcsize("<qBI")
+    out = []
+    for size in (KEY_BYTES, width):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :size] = np.frombuffer(blob, np.uint8, n * size, at).reshape(n, size)
+        out.append(wide.view("<u8").reshape(-1))
+        at += n * size
+    return out[0], out[1].astype(np.int64) + base
+
+
+def _groups(docs: DataFrame, shingles_in_all: int) -> DataFrame:
+    """id, component: groups of documents that share cells.
+
+    Rows of a task go out in parts by the cells' first bits, each part as one packed row; the parts'
+    number grows with the data, so a part keeps its size.
+    """
+    bits = min(24, max(3, (shingles_in_all // PART_SHINGLES).bit_length()))
 
     def deal(batches):
         held: list[tuple[np.ndarray, int]] = []
@@ -260,15 +289,19 @@ def _groups(docs: DataFrame) -> DataFrame:
 
         def out():
             keys, ids, links = fold_equal(np.concatenate([k for k, _ in held]), np.repeat(np.array([i for _, i in held]), [len(k) for k, _ in held]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int8)), pa.array(keys.view(np.int64)), pa.array(ids)], names=["link", "a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(links), np.int8)), pa.array(links[:, 0]), pa.array(links[:, 1])], names=["link", "a", "b"])
+            part = (keys >> np.uint64(64 - bits)).astype(np.int32)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            ends = [*starts[1:], len(keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([False] * len(starts)), pa.array([pack_rows(keys[x:y], ids[x:y]) for x, y in zip(starts, ends)], pa.binary())], names=["part", "link", "rows"])
+            if len(links):
+                yield pa.RecordBatch.from_arrays([pa.array(part[:1]), pa.array([True]), pa.array([links.astype("<i8").tobytes()], pa.binary())], names=["part", "link", "rows"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = shingles(text)
                 keys = cells(found) if len(found) else found
                 if len(keys):
-                    held.append((keys, digest(found)[1]))
+                    held.append((keys, ident))
                     total += len(keys)
                 if total >= FOLD_ROWS:
                     yield from out()
@@ -277,17 +310,23 @@ def _groups(docs: DataFrame) -> DataFrame:
             yield from out()
 
     def meet(batches):
-        held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
-        if not held:
-            return
-        link, a, b = map(np.concatenate, zip(*held))
-        links = fold_equal(a[link == 0], b[link == 0])[2]
-        links = forest(np.concatenate([links[:, 0], a[link == 1]]), np.concatenate([links[:, 1], b[link == 1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
-
-    dealt = texts(docs.filter(F.col("doc_id").isNotNull())).select("text").mapInArrow(deal, "link byte, a long, b long")
-    links = dealt.repartition("a").mapInArrow(meet, "a long, b long")
-    return connected(links).withColumnRenamed("id", "lo")
+        by_part: dict[int, list[bytes]] = {}
+        links = [np.empty((0, 2), np.int64)]
+        for batch in batches:
+            for part, link, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                if link:
+                    links.append(np.frombuffer(rows, "<i8").reshape(-1, 2))
+                else:
+                    by_part.setdefault(part, []).append(rows)
+        while by_part:
+            keys, ids = map(np.concatenate, zip(*map(unpack_rows, by_part.popitem()[1])))
+            links.append(fold_equal(keys, ids)[2])
+        a, b = np.concatenate(links).T
+        tied = forest(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(tied[:, 0]), pa.array(tied[:, 1])], names=["a", "b"])
+
+    dealt = texts(docs.filter(F.col("doc_id").isNotNull())).mapInArrow(deal, "part int, link boolean, rows binary")
+    return connected(written(dealt.repartition("part").mapInArrow(meet, "a long, b long"), "shared-cells"))
 
 
 def _trees(rows: DataFrame) -> DataFrame:
@@ -312,14 +351,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of each document."""
     rows, classes = _classes(docs)
     # members of groups with two sets or more: id, n, component
-    grouped = classes.join(_groups(docs), "lo").select("id", "n", "component")
+    grouped = written(classes.select("id", "n").join(_groups(docs, rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "id"), "grouped")
     tallies = grouped.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("id").alias("least"))
     tallies = written(tallies.filter("sets > 1").withColumn("chunks", F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("shingles") / CHUNK_SHINGLES))), "tallies")
     total = tallies.agg(F.coalesce(F.sum("sets"), F.lit(0)).alias("sets"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("shingles"), F.coalesce(F.max("chunks"), F.lit(0)).alias("chunks")).first()
     placed = join_skewed(grouped, tallies, ["component"], "sets", max(1, total.sets))
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.col("id").isNotNull())
     # one text for each class; a doc_id that comes with several texts is compared with each
-    members = written(placed.join(text, "id"), "members")
+    text = texts(docs).withColumnRenamed("doc_id", "id").filter(F.col("id").isNotNull())
+    members = placed.join(text.filter(_wanted(placed, total.sets)(F.col("id"))), "id")
     task = lambda *c: F.xxhash64(*c)
     bins = max(1, -(-int(total.shingles) // (CHUNK_SHINGLES // 2)))
     small = members.filter("chunks <= 1").select(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("task"), F.col("component").alias("part"), "id", F.col("id").alias("label"), "text")
@@ -334,6 +373,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return tied.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone.select("doc_id", "n", "component_id"))
 
 
+def _wanted(placed: DataFrame, n: int):
+    """A function of the id column: may it be among the placed ones? A Bloom filter of bounded size keeps other texts from being shuffled."""
+    log2_bits = int(np.clip(np.ceil(np.log2(max(1, n) * BITS_PER_ROW)), LEAST_LOG2_BITS, MOST_LOG2_BITS))
+
+    def collect(batches):
+        held = None
+        for batch in batches:
+            own = with_bits(batch.column(0).to_numpy(zero_copy_only=False), log2_bits)
+            held = own if held is None else held | own
+        if held is not None:
+            for k in range(0, len(held), SLICE_BYTES):
+                if held[k : k + SLICE_BYTES].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([held[k : k + SLICE_BYTES].tobytes()])], names=["at", "bits"])
+
+    bits = np.zeros((1 << log2_bits) // 8, np.uint8)
+    for r in placed.select(F.xxhash64("id").alias("h")).mapInArrow(collect, "at long, bits binary").toLocalIterator():
+        bits[r["at"] : r["at"] + SLICE_BYTES] |= np.frombuffer(r["bits"], np.uint8)
+    shared = placed.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(h):
+        import pandas as pd
+
+        return pd.Series(probe(shared.value, h.to_numpy(), log2_bits))
+
+    return lambda ident: maybe(F.xxhash64(ident))
+
+
 def _large(members: DataFrame, task) -> DataFrame:
     """Links of the groups that don't fit one task."""
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))

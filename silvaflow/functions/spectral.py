@@ -11,7 +11,7 @@ BANDS = ("blue", "green", "red", "nir", "swir", "swir2")
 #: Tasselled cap weights of the six bands.
 TASSELLED = {
     "brightness": (0.2043, 0.4158, 0.5524, 0.5741, 0.3124, 0.2303),
-    "greenness": (-0.1603, -0.2819, -0.4934, 0.7940, -0.0002, -0.1446),
+    "greenness": (-0.1603, 0.2819, -0.4934, 0.7940, -0.0002, -0.1446),
     "wetness": (0.0315, 0.2021, 0.3102, 0.1594, -0.6806, -0.6109),
 }
 #: Scale and offset of stored reflectance.

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(paths, header=True, nullValue="", mode="PERMISSIVE")
 
 

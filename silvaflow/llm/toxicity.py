@@ -34,8 +34,12 @@ from .token_ids import Recent, groups
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD, SPAN = 0.7, 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_spans int, spans string"
-#: Documents that one call of forward-backward takes.
-ROWS = 256
+#: Texts, and cells of the table of their words, that one call of forward-backward takes; words of a training window.
+ROWS, CELLS, WINDOW = 256, 500_000, 256
+
+
+#: A feature has a weight if it tells toxic documents or occurs in so many; chance weights of rare ones would mark clean words.
+COMMON = 40
 
 
 def features(word: str) -> list[str]:
@@ -101,8 +105,10 @@ class Model:
         emissions = [np.fromiter(map(self.cache.__getitem__, w), float, len(w)) for w in map(str.split, texts)]
         out: list = [None] * len(texts)
         by_size = np.argsort([-len(e) for e in emissions], kind="stable")
-        for a in range(0, len(by_size), ROWS):
-            part = by_size[a : a + ROWS]
+        a = 0
+        while a < len(by_size):
+            part = by_size[a : a + max(1, min(ROWS, CELLS // max(1, len(emissions[by_size[a]]))))]
+            a += len(part)
             e, sizes, order = padded([emissions[i] for i in part])
             left, right = forward_backward(e, sizes, self.transitions)
             for k, i in enumerate(part[order]):
@@ -118,6 +124,14 @@ def aggregates(odds: np.ndarray) -> np.ndarray:
     return np.array([1.0, np.clip(odds.max(initial=-12.0), -12, 12), math.log(1e-3 + sigmoid(odds).sum())])
 
 
+def tells(toxic: int, clean: int, n_toxic: int, n_clean: int) -> bool:
+    """Is a feature of so many documents of each kind far more frequent among the toxic ones, and surely so?"""
+    odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+    share, usual = toxic / (toxic + clean), n_toxic / (n_toxic + n_clean)
+    evidence = toxic * math.log(share / usual) + (clean * math.log((1 - share) / (1 - usual)) if clean else 0.0)
+    return odds > 3.0 and evidence > 9.0
+
+
 def fit(texts: list[str], toxic: list[int], rounds: int = 25, rate: float = 0.4, ridge: float = 1e-3) -> Model:
     if not any(toxic) or all(toxic):
         return Model({}, 0.0, np.zeros(4), None)
@@ -126,16 +140,18 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25, rate: float = 0.4,
     for ws, y in zip(words, toxic):
         seen[y].update({f for w in set(ws) for f in features(w)})
     n = [len(toxic) - sum(toxic), sum(toxic)]
-    odds = {f: math.log((a + 0.5) / (n[1] + 1)) - math.log((seen[0][f] + 0.5) / (n[0] + 1)) for f, a in seen[1].items() if a >= 3}
-    sure = {f for f, o in odds.items() if o > 3.0}
-    names = {f: k for k, f in enumerate(f for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= 3)}
+    sure = {f for f, a in seen[1].items() if a >= 3 and tells(a, seen[0][f], n[1], n[0])}
+    names = {f: k for k, f in enumerate(f for f in seen[0] | seen[1] if f in sure or seen[0][f] + seen[1][f] >= COMMON)}
     kinds = {w: k for k, w in enumerate({w for ws in words for w in ws})}
     own = [[names[f] for f in features(w) if f in names] for w in kinds]
     at_kind = np.repeat(np.arange(len(own)), [len(x) for x in own])
     at_name = np.array([k for x in own for k in x], np.int64)
     taught = np.array([any(f in sure for f in features(w)) for w in kinds])
-    coded = [np.array([kinds[w] for w in ws], np.int64) for ws in words]
-    labels = [taught[c] & bool(y) for c, y in zip(coded, toxic)]
+    whole = [(np.array([kinds[w] for w in ws], np.int32), bool(y)) for ws, y in zip(words, toxic)]
+    del words, seen
+    # windows of the whole texts, so that a long one doesn't widen a block
+    coded = [c[a : a + WINDOW] for c, _ in whole for a in range(0, len(c), WINDOW)]
+    labels = [taught[c[a : a + WINDOW]] & y for c, y in whole for a in range(0, len(c), WINDOW)]
     order = np.argsort([-len(c) for c in coded], kind="stable")
     blocks = [order[a : a + 512] for a in range(0, len(order), 512)]
     w, bias, t = np.zeros(len(names)), -3.0, np.array([-2.0, 0.0, 0.0, -2.0])
@@ -180,7 +196,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25, rate: float = 0.4,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, sample_chars: int = 12_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, sample_chars: int = 5_000_000) -> Model:
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))

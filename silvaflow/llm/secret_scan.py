@@ -48,12 +48,19 @@ PLAIN = str.maketrans("@4301!5$7", "aaeoiisst")
 SPANS_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, assign_log10 array<double>"
 
 
-def neighbours() -> dict[str, set[str]]:
-    at = {c: (x + y / 2, y) for y, row in enumerate(KEYS) for x, c in enumerate(row)}
-    return {a: {b for b, (u, v) in at.items() if a != b and abs(u - x) <= 1 and abs(v - y) <= 1} for a, (x, y) in at.items()}
+#: Where a key lies; each row stands half a key to the right of the one above.
+PLACES = {c: (x + y / 2, y) for y, row in enumerate(KEYS) for x, c in enumerate(row)}
 
 
-NEAR = neighbours()
+def stride(a: str, b: str):
+    """The step from a key to one beside it, or to the next or previous character; None if b is neither."""
+    if abs(ord(b) - ord(a)) == 1:
+        return ord(b) - ord(a)
+    if a in PLACES and b in PLACES and a != b:
+        (x, y), (u, v) = PLACES[a], PLACES[b]
+        if abs(u - x) <= 1 and abs(v - y) <= 1:
+            return u - x, v - y
+    return None
 
 
 def brute(c: str) -> float:
@@ -80,10 +87,10 @@ def guess_log10(value: str) -> float:
             while low[j : j + unit] == low[i : i + unit] and j + unit <= n:
                 j += unit
                 cost[j] = min(cost[j], cost[i] + sum(map(brute, value[i : i + unit])) + math.log10((j - i) // unit))
-        j, turns, step = i + 1, 1, None  # a keyboard walk or a run of neighbouring characters
-        while j < n and (low[j] in NEAR.get(low[j - 1], ()) or abs(ord(low[j]) - ord(low[j - 1])) == 1):
-            turns += step is not None and ord(low[j]) - ord(low[j - 1]) != step
-            step = ord(low[j]) - ord(low[j - 1])
+        j, turns, before = i + 1, 0, None  # a keyboard walk or a run of neighbouring characters
+        while j < n and (step := stride(low[j - 1], low[j])) is not None:
+            turns += before is not None and step != before
+            before = step
             j += 1
             if j - i >= 3:
                 cost[j] = min(cost[j], cost[i] + math.log10(47 * (j - i)) + turns * math.log10(6))

@@ -49,8 +49,8 @@ LEAVES, FANOUT = 32, 8
 #: What one task compares at a time: sets, and shingles in them; and sets outside the bulk in a block.
 CHUNK_SETS, CHUNK_SHINGLES, BLOCK_SETS, PIVOTS = 4096, 3_000_000, 1024, 64
 #: Rows of cells that a task folds at a time; shingles of all documents whose cells make a part; bytes of a cell's key there.
-FOLD_ROWS, PART_SHINGLES, KEY_BYTES = 2_000_000, 1_000_000, 6
-KEY_MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
+FOLD_ROWS, PART_SHINGLES, KEY_BYTES = 2_000_000, 1_000_000, 7
+LOW_BITS, MARK = np.uint64(127), np.uint64(64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -96,8 +96,11 @@ LOW, MOST, CELLS = bands()
 LOWS = np.array(LOW)
 
 
-def cells(found: np.ndarray) -> np.ndarray:
-    """Signatures of the cells under which a set is dealt out."""
+def cells(found: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(band, how many of its cells must be shared, keys of its cells) of each band that a set enters.
+
+    A key's lowest six bits are the band; bit 6 is left for a mark.
+    """
     n = len(found)
     own = int(np.searchsorted(LOWS, n, side="right")) - 1
     out = []
@@ -105,17 +108,20 @@ def cells(found: np.ndarray) -> np.ndarray:
     for band in (own, own + 1) if n * 5 // 4 >= LOW[own + 1] else (own,):
         if not MOST[band]:
             continue  # linked sets of this band are equal
+        # the largest partner of this band that may be linked bounds the differences
+        differ = (n + min(n * 5 // 4, LOW[band + 1] - 1)) // 9
         k = CELLS[band]
         cell = (found % np.uint64(k)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         cell = cell[order]
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         name = np.uint64(band << 48) + cell[starts].astype(np.uint64)
-        out.append(mix(np.add.reduceat(spread[order], starts) + mix(name)))
-        if len(starts) <= MOST[band]:  # all cells with shingles may differ from a partner's: the empty ones count too
+        keys = mix(np.add.reduceat(spread[order], starts) + mix(name))
+        if len(starts) <= differ:  # all cells with shingles may differ from a partner's: the empty ones count too
             empty = np.setdiff1d(np.arange(k), cell[starts])
-            out.append(mix(np.uint64(band << 48) + empty.astype(np.uint64)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            keys = np.concatenate([keys, mix(np.uint64(band << 48) + empty.astype(np.uint64))])
+        out.append((band, len(starts) - differ, (keys & ~LOW_BITS) | np.uint64(band)))
+    return out
 
 
 def fold_equal(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,6 +156,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([names[other], names[label[other]]], axis=1)
 
 
+def pack_rows(keys: np.ndarray, ids: np.ndarray) -> bytes:
+    """Rows (56 bits of a key, id): ids by their distance from the least one, in as few bytes as that takes."""
+    base = int(ids.min())
+    away = (ids - base).astype("<u8")
+    width = max(1, (int(away.max()).bit_length() + 7) // 8)
+    return struct.pack("<qBI", base, width, len(ids)) + keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() + away.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    base, width, n = struct.unpack_from("<qBI", blob)
+    at = struct.calcsize("<qBI")
+    out = []
+    for size in (KEY_BYTES, width):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :size] = np.frombuffer(blob, np.uint8, n * size, at).reshape(n, size)
+        out.append(wide.view("<u8").reshape(-1))
+        at += n * size
+    return out[0], out[1].astype(np.int64) + base
+
+
 def enough(common: int, a: int, b: int) -> bool:
     return 100 * common >= 80 * (a + b - common)
 
@@ -255,24 +281,87 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, written(linked.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.min("doc_id").alias("id"), F.count("*").alias("members")), "classes")
 
 
-def pack_rows(keys: np.ndarray, ids: np.ndarray) -> bytes:
-    """Rows (48 bits of a key, id): ids by their distance from the least one, in as few bytes as that takes."""
-    base = int(ids.min())
-    away = (ids - base).astype("<u8")
-    width = max(1, (int(away.max()).bit_length() + 7) // 8)
-    return struct.pack("<qBI", base, width, len(ids)) + (keys & KEY_MASK).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() + away.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def grouped_rows(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of key (the mark aside) and id, and whether another row has the same key."""
+    order = np.lexsort((ids, keys & ~MARK))
+    keys, ids = keys[order], ids[order]
+    same = (keys[1:] & ~MARK) == (keys[:-1] & ~MARK)
+    return keys, ids, np.concatenate([same, [False]]) | np.concatenate([[False], same])
 
 
-def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    base, width, n = struct.unpack_from("<qBI", blob)
-    at = struct.calcsize("<qBI")
-    out = []
-    for size in (KEY_BYTES, width):
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :size] = np.frombuffer(blob, np.uint8, n * size, at).reshape(n, size)
-        out.append(wide.view("<u8").reshape(-1))
-        at += n * size
-    return out[0], out[1].astype(np.int64) + base
+def tallied(ids: np.ndarray, bands: np.ndarray, counts: np.ndarray | int) -> pa.RecordBatch:
+    """Rows (id, band, delta), one for each id and band."""
+    names, at = np.unique(np.stack([ids, bands.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+    delta = np.bincount(at.reshape(-1), np.broadcast_to(counts, len(ids)), len(names)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(delta)], names=["id", "band", "delta"])
+
+
+def _sharing(docs: DataFrame, bits: int) -> DataFrame:
+    """Ids of documents of which enough cells occur elsewhere: the others have no link.
+
+    A sum for each document and band starts at minus the number of cells that must be shared and
+    rises by one for each that is. A task folds equal cells of its rows into one marked row.
+    """
+
+    def deal(batches):
+        for _, keys, ids, sums in dealt(batches):
+            keys, ids, many = grouped_rows(keys, ids)
+            first = np.concatenate([[True], keys[1:] != keys[:-1]])
+            forward = keys[first] | np.where(many[first], MARK, np.uint64(0))
+            local = tallied(np.concatenate([ids[many], sums[:, 0]]), np.concatenate([(keys[many] & np.uint64(63)).astype(np.int64), sums[:, 1]]), np.concatenate([np.ones(many.sum(), np.int64), -sums[:, 2]]))
+            yield from packed(forward, ids[first], bits, np.stack([c.to_numpy() for c in local.columns], axis=1))
+
+    def meet(batches):
+        for keys, ids, passed in unpacked(batches):
+            if len(passed):
+                yield tallied(passed[:, 0], passed[:, 1], passed[:, 2])
+            if len(keys):
+                keys, ids, many = grouped_rows(keys, ids)
+                new = many & ((keys & MARK) == 0)
+                if new.any():
+                    yield tallied(ids[new], keys[new] & np.uint64(63), 1)
+
+    rows = texts(docs.filter(F.col("doc_id").isNotNull())).mapInArrow(deal, "part int, rows binary, passed binary").repartition("part").mapInArrow(meet, "id long, band long, delta long")
+    return rows.groupBy("id", "band").agg(F.sum("delta").alias("delta")).filter("delta >= 0").select("id").distinct()
+
+
+def dealt(batches):
+    """(number, keys, ids, sums) of about FOLD_ROWS cells at a time; sums: rows (id, band, cells that must be shared)."""
+    keys, ids, sums, total, k = [], [], [], 0, 0
+    for batch in batches:
+        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = shingles(text)
+            for band, need, own in cells(found) if len(found) else ():
+                keys.append(own)
+                ids.append(np.full(len(own), ident, np.int64))
+                sums.append((ident, band, need))
+                total += len(own)
+            if total >= FOLD_ROWS:
+                yield k, np.concatenate(keys), np.concatenate(ids), np.array(sums, np.int64)
+                keys, ids, sums, total, k = [], [], [], 0, k + 1
+    if keys:
+        yield k, np.concatenate(keys), np.concatenate(ids), np.array(sums, np.int64)
+
+
+def packed(keys: np.ndarray, ids: np.ndarray, bits: int, passed: np.ndarray):
+    """Rows in order of key as one packed row for each part (the keys' first bits); `passed` goes along with the first."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int32)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    ends = [*starts[1:], len(keys)]
+    along = [passed.astype("<i8").tobytes()] + [b""] * (len(starts) - 1)
+    yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([pack_rows(keys[x:y], ids[x:y]) for x, y in zip(starts, ends)], pa.binary()), pa.array(along, pa.binary())], names=["part", "rows", "passed"])
+
+
+def unpacked(batches):
+    """(keys, ids, passed) of each part of a partition."""
+    by_part: dict[int, list[tuple[bytes, bytes]]] = {}
+    for batch in batches:
+        for part, rows, passed in zip(*(c.to_pylist() for c in batch.columns)):
+            by_part.setdefault(part, []).append((rows, passed))
+    while by_part:
+        blobs = by_part.popitem()[1]
+        keys, ids = map(np.concatenate, zip(*(unpack_rows(rows) for rows, _ in blobs)))
+        yield keys, ids, np.frombuffer(b"".join(p for _, p in blobs), "<i8").reshape(-1, 3)
 
 
 def _groups(docs: DataFrame, shingles_in_all: int) -> DataFrame:
@@ -282,51 +371,24 @@ def _groups(docs: DataFrame, shingles_in_all: int) -> DataFrame:
     number grows with the data, so a part keeps its size.
     """
     bits = min(24, max(3, (shingles_in_all // PART_SHINGLES).bit_length()))
+    sharing = written(_sharing(docs, bits), "sharing")
+    text = texts(docs).filter(F.col("doc_id").isNotNull())
+    near = text.filter(_wanted(sharing, sharing.count())(F.col("doc_id")))
 
     def deal(batches):
-        held: list[tuple[np.ndarray, int]] = []
-        total = 0
-
-        def out():
-            keys, ids, links = fold_equal(np.concatenate([k for k, _ in held]), np.repeat(np.array([i for _, i in held]), [len(k) for k, _ in held]))
-            part = (keys >> np.uint64(64 - bits)).astype(np.int32)
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            ends = [*starts[1:], len(keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([False] * len(starts)), pa.array([pack_rows(keys[x:y], ids[x:y]) for x, y in zip(starts, ends)], pa.binary())], names=["part", "link", "rows"])
-            if len(links):
-                yield pa.RecordBatch.from_arrays([pa.array(part[:1]), pa.array([True]), pa.array([links.astype("<i8").tobytes()], pa.binary())], names=["part", "link", "rows"])
-
-        for batch in batches:
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = shingles(text)
-                keys = cells(found) if len(found) else found
-                if len(keys):
-                    held.append((keys, ident))
-                    total += len(keys)
-                if total >= FOLD_ROWS:
-                    yield from out()
-                    held, total = [], 0
-        if held:
-            yield from out()
+        for _, keys, ids, _ in dealt(batches):
+            keys, ids, links = fold_equal(keys, ids)
+            yield from packed(keys, ids, bits, np.concatenate([links, np.zeros((len(links), 1), np.int64)], axis=1))
 
     def meet(batches):
-        by_part: dict[int, list[bytes]] = {}
         links = [np.empty((0, 2), np.int64)]
-        for batch in batches:
-            for part, link, rows in zip(*(c.to_pylist() for c in batch.columns)):
-                if link:
-                    links.append(np.frombuffer(rows, "<i8").reshape(-1, 2))
-                else:
-                    by_part.setdefault(part, []).append(rows)
-        while by_part:
-            keys, ids = map(np.concatenate, zip(*map(unpack_rows, by_part.popitem()[1])))
-            links.append(fold_equal(keys, ids)[2])
-        a, b = np.concatenate(links).T
-        tied = forest(a, b)
+        for keys, ids, passed in unpacked(batches):
+            links += fold_equal(keys, ids)[2], passed[:, :2]
+        tied = forest(*np.concatenate(links).T)
         yield pa.RecordBatch.from_arrays([pa.array(tied[:, 0]), pa.array(tied[:, 1])], names=["a", "b"])
 
-    dealt = texts(docs.filter(F.col("doc_id").isNotNull())).mapInArrow(deal, "part int, link boolean, rows binary")
-    return connected(written(dealt.repartition("part").mapInArrow(meet, "a long, b long"), "shared-cells"))
+    rows = near.mapInArrow(deal, "part int, rows binary, passed binary").repartition("part")
+    return connected(written(rows.mapInArrow(meet, "a long, b long"), "shared-cells"))
 
 
 def _trees(rows: DataFrame) -> DataFrame:
@@ -364,7 +426,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small = members.filter("chunks <= 1").select(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("task"), F.col("component").alias("part"), "id", F.col("id").alias("label"), "text")
     links = written(_trees(small), "links")
     if total.chunks > 1:
-        links = links.union(_large(members.filter("chunks > 1"), task))
+        links = links.union(_large(written(members.filter("chunks > 1"), "large"), task))
     found = connected(links)
     named = classes.join(found.select("id", "component"), "id", "left").select("hi", "lo", "members", F.coalesce("component", "id").alias("component_id"))
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()

@@ -241,3 +241,40 @@ def test_incremental(spark, tmp_path):
     spark.createDataFrame([(3, 6.0)], "k int, h double").write.mode("append").parquet(src)
     available_now(spark, src, "k int, h double", kept, out, check)
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 3]
+
+
+def test_geometry(spark):
+    from silvaflow.operators import geometry as G
+
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), (2, 5.0, 5.0, 6.0, 6.0)], "id int, xmin double, ymin double, xmax double, ymax double")
+    assert G.buffered(boxes, 1).first().xmin == -1
+    assert [tuple(r) for r in G.clipped(boxes.withColumns({"a": F.lit(0.5), "b": F.lit(0.0), "c": F.lit(3.0), "d": F.lit(3.0)}), ["a", "b", "c", "d"]).select(*G.BOX).collect()] == [(0.5, 0.0, 1.0, 1.0)]
+    assert [r.id for r in G.intersecting(boxes, boxes.filter("id = 2"), 0.7).collect()] == [2]
+    ring = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0))]
+    polygons = spark.createDataFrame([(7, ring, 0.0, 2.0, 0.0, 2.0)], "polygon_id int, ring array<struct<x:double,y:double>>, xmin double, xmax double, ymin double, ymax double")
+    cells = spark.createDataFrame([(r, c) for r in range(4) for c in range(4)], "row int, col int")
+    zones = {(r.row, r.col): r.zone for r in G.rasterised(cells, polygons, (0.0, 4.0), 1.0).collect()}
+    assert sum(z == 7 for z in zones.values()) == 4 and zones[3, 0] == 7 and zones[0, 0] == 0
+    tiles = spark.createDataFrame([(1, 0.0, 1e6, 1000.0, 1.001e6)], "tile_num int, xmin double, ymin double, xmax double, ymax double")
+    part = G.tile_parts(tiles, 100.0).first()
+    assert part.lat0 < part.lat1 and part.buffered_xmin == -100
+
+
+def test_flows(spark):
+    from silvaflow.plans import flows
+
+    segs = spark.createDataFrame([(1, "gt1r", 0, 1, 111, 10.0, 7, 0.5, 0.5), (1, "gt1l", 0, 1, 111, 10.0, 7, 0.5, 0.5), (1, "gt1r", 0, 1, 111, 90.0, 7, 0.5, 0.5)], "orb_orient int, gt string, msw_flg int, seg_snow int, seg_landcov int, h_can double, month int, x double, y double")
+    layer = spark.createDataFrame([(0, 0, 3.5)], "row int, col int, slope double")
+    assert [r.topo_slope for r in flows.training_table(segs, {"topo": layer}, (0.0, 1.0), 1.0).collect()] == [3.5]
+    scenes = spark.createDataFrame([(1, 0, 0, "a", 200, 2020, 0.04, 0.06, 0.05, 0.30, 0.15, 0.08, 0), (1, 0, 0, "b", 210, 2020, 0.04, 0.06, 0.05, 0.60, 0.15, 0.08, 2), (1, 0, 0, "c", 220, 2021, 0.04, 0.06, 0.05, 0.40, 0.15, 0.08, 0)], "tile_num int, row int, col int, scene_id string, doy int, year int, blue double, green double, red double, nir double, swir double, swir2 double, qa int")
+    best = flows.composited(scenes).first()
+    assert (best.scene_id, best.doy, best.n_valid) == ("c", 220, 2)
+    cube = spark.createDataFrame([(1, 0, 0, 2000 + k, 200, float(k)) for k in range(8)], "tile_num int, row int, col int, year int, doy int, value double")
+    assert [(r.kendall, r.trend) for r in flows.trend_classes(cube).collect()] == [(1, 4)]
+    train = spark.range(300).select((F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10 * 3.0).alias("agb"))
+    px = spark.createDataFrame([(1, 0, 0, 2.0), (1, 0, 1, 8.0)], "tile_num int, row int, col int, x double")
+    got = {r.col: r["mean"] for r in flows.tile_map(train, px, ["x"], "agb", trees=5, most=4).collect()}
+    assert got[0] == pytest.approx(6, abs=2) and got[1] == pytest.approx(24, abs=2)
+    carbon = spark.createDataFrame([(100.0, 0.0, 30.0, -3.0, 0.01, 10.0)], "biomass_mean double, age_mean double, age_alt double, canopy_trend double, pvalue double, deciduous double")
+    c = flows.carbon_classes(carbon).first()
+    assert (c.age_class, c.canopy_class, c.p_class, c.deciduous_class, c.carbon_sum, c.area_ha) == (2, 0, 1, 0, 50.0, 0.09)

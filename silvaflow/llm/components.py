@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+ROWS = 500_000
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id) for each id in the columns a and b of edges.
 
@@ -17,12 +20,13 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     links = written(both, "links")
-    labels = written(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    few = max(4, -(-links.count() // ROWS))  # a task writes so many rows, and small tables few files
+    labels = written(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")).coalesce(few), "labels")
     while True:
         near = links.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         taken = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        jumped = written(taken.join(root, "component").select("id", "old", F.least("component", "root").alias("component")), "labels")
+        jumped = written(taken.join(root, "component").select("id", "old", F.least("component", "root").alias("component")).coalesce(few), "labels")
         labels = jumped.select("id", "component")
         if not jumped.filter("old <> component").limit(1).count():
             return labels

@@ -50,22 +50,33 @@ def probe(bits: np.ndarray, hashes: np.ndarray, log2_bits: int) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
-def repeated_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """The `again` filter of a column of 64-bit hashes, and the logarithm of its bits."""
-    log2_bits = int(np.clip(np.ceil(np.log2(max(1, rows) * BITS_PER_ROW)), LEAST_LOG2_BITS, MOST_LOG2_BITS))
+def log2_size(rows: int) -> int:
+    return int(np.clip(np.ceil(np.log2(max(1, rows) * BITS_PER_ROW)), LEAST_LOG2_BITS, MOST_LOG2_BITS))
+
+
+def sliced(once: np.ndarray, again: np.ndarray):
+    """A filter's slices with any bit, as rows (slice, once, again)."""
+    a, b = once.reshape(-1, SLICE_BYTES), again.reshape(-1, SLICE_BYTES)
+    some = np.flatnonzero(a.any(axis=1))
+    for part in np.array_split(some, max(1, len(some) // 512)):
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([x.tobytes() for x in a[part]], pa.binary()), pa.array([x.tobytes() for x in b[part]], pa.binary())], names=["slice", "once", "again"])
+
+
+def merged(hashes: DataFrame, rows: int, which: str) -> tuple[np.ndarray, int]:
+    """The `once` or `again` filter of a column of 64-bit hashes, and the logarithm of its bits.
+
+    Tasks merge slices of tasks; what reaches the driver is one filter, 32 MB at most.
+    """
+    log2_bits = log2_size(rows)
 
     def collect(batches):
         once = again = None
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            kinds, counts = np.unique(h, return_counts=True)
+            kinds, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
             own, twice = with_bits(kinds, log2_bits), with_bits(kinds[counts > 1], log2_bits)
             once, again = (own, twice) if once is None else (once | own, again | twice | (once & own))
         if once is not None:
-            a, b = once.reshape(-1, SLICE_BYTES), again.reshape(-1, SLICE_BYTES)
-            some = np.flatnonzero(a.any(axis=1))
-            for part in np.array_split(some, max(1, len(some) // 512)):
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([x.tobytes() for x in a[part]]), pa.array([x.tobytes() for x in b[part]])], names=["slice", "once", "again"])
+            yield from sliced(once, again)
 
     def merge(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -77,21 +88,21 @@ def repeated_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
                     held[k][0] = held[k][0] | a
                 else:
                     held[k] = [a, b]
-        for k, (_, b) in held.items():
-            if b.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([b.tobytes()])], names=["slice", "again"])
+        for k, (a, b) in held.items():
+            bits = a if which == "once" else b
+            if bits.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
 
-    slices = hashes.mapInArrow(collect, "slice long, once binary, again binary").repartition("slice").mapInArrow(merge, "slice long, again binary")
-    bits = np.zeros((1 << log2_bits) // 8, np.uint8)
-    for r in slices.toLocalIterator():
-        bits[r["slice"] * SLICE_BYTES : (r["slice"] + 1) * SLICE_BYTES] = np.frombuffer(r["again"], np.uint8)
-    return bits, log2_bits
+    slices = hashes.mapInArrow(collect, "slice long, once binary, again binary").repartition("slice").mapInArrow(merge, "slice long, bits binary")
+    out = np.zeros((1 << log2_bits) // 8, np.uint8)
+    for r in slices.collect():
+        out[r["slice"] * SLICE_BYTES : (r["slice"] + 1) * SLICE_BYTES] = np.frombuffer(r["bits"], np.uint8)
+    return out, log2_bits
 
 
-def _maybe(hashes: DataFrame, rows: int):
-    """A function of the hash column: may it occur twice?"""
-    bits, log2_bits = repeated_filter(hashes, rows)
-    shared = hashes.sparkSession.sparkContext.broadcast((bits, log2_bits))
+def asked(filter_: tuple[np.ndarray, int], spark):
+    """A function of a column of hashes: may the filter hold them?"""
+    shared = spark.sparkContext.broadcast(filter_)
 
     @F.pandas_udf("boolean")
     def maybe(h):
@@ -102,6 +113,11 @@ def _maybe(hashes: DataFrame, rows: int):
     return maybe
 
 
+def _maybe(hashes: DataFrame, rows: int):
+    """A function of the hash column: may it occur twice?"""
+    return asked(merged(hashes, rows, "again"), hashes.sparkSession)
+
+
 def _digests(docs: DataFrame) -> DataFrame:
     rows = texts(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     return rows.withColumns({"h": F.xxhash64("digest"), "row": F.monotonically_increasing_id()})

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import join_skewed, texts, written
 from .components import connected
-from .exact_dedup import BITS_PER_ROW, LEAST_LOG2_BITS, MOST_LOG2_BITS, SLICE_BYTES, probe, with_bits
+from .exact_dedup import asked, merged
 
 SHINGLE = 5
 BITS = 2048
@@ -403,8 +403,9 @@ def _trees(rows: DataFrame) -> DataFrame:
         for places in by_part.values():
             if len(places) > 1:
                 links += [(ids[places[i]], ids[places[j]]) for i, j in Tree([shingles(contents[k]) for k in places], [labels[k] for k in places]).join()]
-        a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        # as stars, which components are soon found of
+        stars = forest(*np.array(links, np.int64).reshape(-1, 2).T)
+        return pa.table({"a": pa.array(stars[:, 0]), "b": pa.array(stars[:, 1])})
 
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
@@ -435,31 +436,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return tied.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone.select("doc_id", "n", "component_id"))
 
 
-def _wanted(placed: DataFrame, n: int):
-    """A function of the id column: may it be among the placed ones? A Bloom filter of bounded size keeps other texts from being shuffled."""
-    log2_bits = int(np.clip(np.ceil(np.log2(max(1, n) * BITS_PER_ROW)), LEAST_LOG2_BITS, MOST_LOG2_BITS))
-
-    def collect(batches):
-        held = None
-        for batch in batches:
-            own = with_bits(batch.column(0).to_numpy(zero_copy_only=False), log2_bits)
-            held = own if held is None else held | own
-        if held is not None:
-            for k in range(0, len(held), SLICE_BYTES):
-                if held[k : k + SLICE_BYTES].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([held[k : k + SLICE_BYTES].tobytes()])], names=["at", "bits"])
-
-    bits = np.zeros((1 << log2_bits) // 8, np.uint8)
-    for r in placed.select(F.xxhash64("id").alias("h")).mapInArrow(collect, "at long, bits binary").toLocalIterator():
-        bits[r["at"] : r["at"] + SLICE_BYTES] |= np.frombuffer(r["bits"], np.uint8)
-    shared = placed.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
-
-        return pd.Series(probe(shared.value, h.to_numpy(), log2_bits))
-
+def _wanted(ids: DataFrame, n: int):
+    """A function of the id column: may it be among these? A Bloom filter of bounded size keeps other texts from being shuffled."""
+    maybe = asked(merged(ids.select(F.xxhash64("id").alias("h")), n, "once"), ids.sparkSession)
     return lambda ident: maybe(F.xxhash64(ident))
 
 

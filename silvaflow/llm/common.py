@@ -51,6 +51,14 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string")) % parts
 
 
+def bounded_rows(sample: DataFrame, parts: int = 8):
+    """Yields the rows of a sample of bounded size with a doc_id, in an order of its own.
+
+    One parallel job finds them and puts them into a few partitions, which come one by one.
+    """
+    return sample.repartition(parts, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").toLocalIterator()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,8 +4,8 @@ For each language a context tree over bytes holds how often each byte followed e
 to ORDER bytes. The cost of a byte is that of its longest context that was seen: its share there
 if the byte followed it, otherwise an escape (distinct followers / (all + distinct followers)) and
 the cost in the next shorter context, at last 1 / alphabet. Statistics are frozen after training,
-so a byte's cost depends on it and the ORDER bytes before it alone, and the trees unfold into one
-table of costs. A text's language is the one with the least code length; the score is the
+so a byte's cost depends on it and the ORDER bytes before it alone, and the trees unfold into two
+tables of costs: one of all contexts of ORDER - 1 bytes, one of the DEEP most frequent of ORDER. A text's language is the one with the least code length; the score is the
 probability that the code lengths give it among the learned languages.
 
 Learned from a bounded sample: of rows with text and lang in the training fold, the
@@ -27,18 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded_rows, fold
 from .token_ids import groups
 
-ORDER = 2
+ORDER = 3
 ALPHABET = 95
+#: Contexts of full length that the model keeps, the most frequent ones of the sample: they bound its size.
+DEEP = 20_000
 FOLDS, HELD_OUT = 4, 2
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 ASCII_LETTER = re.compile("[A-Za-z]")
 
 
 class Model:
-    """costs: (symbol two before, symbol before, symbol, language) -> bits; symbols: byte -> symbol."""
+    """symbols: byte -> symbol; shallow: costs in bits by (context of ORDER - 1 symbols and symbol, language);
+    rows: context of ORDER symbols -> its row, or -1; deep: costs by (row and symbol, language)."""
 
     def __init__(self, languages: list[str], samples: dict[str, list[str]]):
         self.languages = languages
@@ -50,19 +53,31 @@ class Model:
         common = [int(b) for b in np.argsort(-seen, kind="stable")[:ALPHABET] if seen[b]]
         self.symbols = np.zeros(256, np.int32)  # 0: the others and what stands before the text
         self.symbols[common] = np.arange(1, len(common) + 1)
-        self.n = len(common) + 1
-        self.costs = np.stack([self._tree(coded[k]) for k in languages], axis=-1).astype(np.float32) if languages else None
-
-    def _tree(self, coded: list[bytes]) -> np.ndarray:
-        n, cost = self.n, np.array(1.0 / self.n)
-        flat = self.contexts(coded)[0]
-        for order in range(ORDER + 1):
-            counts = np.bincount(flat % n ** (order + 1), minlength=n ** (order + 1)).reshape((n,) * (order + 1)).astype(float)
-            total, kinds = counts.sum(axis=-1, keepdims=True), (counts > 0).sum(axis=-1, keepdims=True)
-            lower = np.broadcast_to(cost, counts.shape)
-            weight = np.maximum(total + kinds, 1)
-            cost = np.where(counts > 0, counts / weight, np.where(total > 0, kinds / weight, 1.0) * lower)
-        return -np.log2(cost)
+        self.n = n = len(common) + 1
+        if not languages:
+            return
+        places = {k: self.contexts(coded[k])[0] for k in languages}
+        often = sum(np.bincount(p // n, minlength=n**ORDER) for p in places.values())
+        kept = np.sort(np.argsort(-often, kind="stable")[: min(DEEP, np.count_nonzero(often))])
+        self.rows = np.full(n**ORDER, -1, np.int32)
+        self.rows[kept] = np.arange(len(kept))
+        trees = [self._tree(places[k], kept) for k in languages]
+        self.shallow, self.deep = (np.stack([t[i].reshape(-1) for t in trees], axis=-1).astype(np.float32) for i in (0, 1))
+
+    def _tree(self, places: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, share = self.n, np.array(1.0 / self.n)
+        for order in range(ORDER):
+            share = self._shares(np.bincount(places % n ** (order + 1), minlength=n ** (order + 1)).reshape((n,) * (order + 1)), share)
+        known = places[self.rows[places // n] >= 0]
+        counts = np.bincount(self.rows[known // n].astype(np.int64) * n + known % n, minlength=len(kept) * n).reshape(len(kept), n)
+        return -np.log2(share), -np.log2(self._shares(counts, share.reshape(-1, n)[kept % n ** (ORDER - 1)]))
+
+    @staticmethod
+    def _shares(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Of followers of contexts: seen ones by their counts, others by an escape and the shorter context's share."""
+        total, kinds = counts.sum(axis=-1, keepdims=True), (counts > 0).sum(axis=-1, keepdims=True)
+        weight = np.maximum(total + kinds, 1)
+        return np.where(counts > 0, counts / weight, np.where(total > 0, kinds / weight, 1.0) * np.broadcast_to(lower, counts.shape))
 
     def contexts(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The place in the table of each byte of the texts, and where the texts begin in it (and end)."""
@@ -81,7 +96,10 @@ class Model:
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code length of each text in each language."""
         place, bounds = self.contexts([t.encode().lower() for t in texts])
-        each = self.costs.reshape(-1, len(self.languages))[place]
+        each = self.shallow[place % self.n**ORDER]
+        row = self.rows[place // self.n].astype(np.int64)
+        known = row >= 0
+        each[known] = self.deep[row[known] * self.n + place[known] % self.n]
         out = np.zeros((len(texts), len(self.languages)))
         some = bounds[1:] > bounds[:-1]
         if some.any():
@@ -106,7 +124,7 @@ def train(docs: DataFrame, per_language: int = 400, languages: int = 64, sample_
     chosen = taught.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")
     samples: dict[str, list[str]] = {k: [] for k in values}
     share, used = sample_chars // len(values), dict.fromkeys(values, 0)
-    for r in chosen.toLocalIterator():
+    for r in bounded_rows(chosen):
         if used[r.lang] < share:
             samples[r.lang].append(r.text)
             used[r.lang] += len(r.text)

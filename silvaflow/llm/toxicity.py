@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded_rows, fold
 from .token_ids import Recent, groups
 
 FOLDS, HELD_OUT = 3, 1
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, sample_char
         ids = known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
         used = 0
-        for r in rows.toLocalIterator():
+        for r in bounded_rows(rows):
             if used < sample_chars:
                 found.append(r.text)
                 ys.append(y)

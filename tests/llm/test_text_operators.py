@@ -351,10 +351,10 @@ def test_code_lengths_against_the_definition():
     samples = {"a": ["abracadabra abra"], "b": ["bananas and bandanas"]}
     m = langid.Model(["a", "b"], samples)
     for k, lang in enumerate(m.languages):
-        coded = [[0, 0] + [int(m.symbols[b]) for b in t.encode()] for t in samples[lang]]
+        coded = [[0, 0, 0] + [int(m.symbols[b]) for b in t.encode()] for t in samples[lang]]
 
         def share(context, x, coded=coded):
-            seen = [row[i] for row in coded for i in range(2, len(row)) if tuple(row[i - len(context) : i]) == context]
+            seen = [row[i] for row in coded for i in range(3, len(row)) if tuple(row[i - len(context) : i]) == context]
             if not seen:
                 return share(context[1:], x) if context else 1 / m.n
             if x in seen:
@@ -362,8 +362,8 @@ def test_code_lengths_against_the_definition():
             return len(set(seen)) / (len(seen) + len(set(seen))) * (share(context[1:], x) if context else 1 / m.n)
 
         text = "banabra zz"
-        s = [0, 0] + [int(m.symbols[b]) for b in text.encode()]
-        want = -sum(math.log2(share(tuple(s[i - 2 : i]), s[i])) for i in range(2, len(s)))
+        s = [0, 0, 0] + [int(m.symbols[b]) for b in text.encode()]
+        want = -sum(math.log2(share(tuple(s[i - 3 : i]), s[i])) for i in range(3, len(s)))
         assert m.bits([text])[0][k] == pytest.approx(want, rel=1e-5)
 
 

@@ -8,7 +8,7 @@ alone and pass straight through; the rest, repeated ones and a few false alarms,
 digest and settled exactly.
 
 Sizes: a filter has BITS_PER_ROW bits a row up to 2**MOST_LOG2_BITS (32 MB), so what is broadcast is
-bounded. Beyond some 27 million rows the filter grows fuller and lets more lone rows through; then
+bounded. Beyond some 17 million rows the filter grows fuller and lets more lone rows through; then
 more digests (never texts, for digests()) are shuffled, and the result stays exact. Filters travel
 in slices and tasks merge slices one row at a time. A digest with a thousandth of all rows or more
 joins by broadcast, as there are a thousand such digests at most; partial aggregation comes before every
@@ -40,9 +40,11 @@ def places(hashes: np.ndarray, log2_bits: int) -> np.ndarray:
 
 
 def with_bits(hashes: np.ndarray, log2_bits: int) -> np.ndarray:
-    bits = np.zeros(1 << log2_bits, bool)
-    bits[places(hashes, log2_bits).reshape(-1)] = True
-    return np.packbits(bits, bitorder="little")
+    bits = np.zeros((1 << log2_bits) // 8, np.uint8)
+    for a in range(0, len(hashes), 1 << 18):
+        at = places(hashes[a : a + (1 << 18)], log2_bits).reshape(-1)
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return bits
 
 
 def probe(bits: np.ndarray, hashes: np.ndarray, log2_bits: int) -> np.ndarray:

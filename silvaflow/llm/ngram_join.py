@@ -47,9 +47,9 @@ SHINGLE = 5
 BITS = 2048
 LEAVES, FANOUT = 32, 8
 #: What one task compares at a time: sets, and shingles in them; and sets outside the bulk in a block.
-CHUNK_SETS, CHUNK_SHINGLES, BLOCK_SETS, PIVOTS = 4096, 3_000_000, 1024, 64
+CHUNK_SETS, CHUNK_SHINGLES, BLOCK_SETS, PIVOTS = 4096, 3_000_000, 4096, 64
 #: Rows of cells that a task folds at a time; shingles of all documents whose cells make a part; bytes of a cell's key there.
-FOLD_ROWS, PART_SHINGLES, KEY_BYTES = 2_000_000, 1_000_000, 7
+FOLD_ROWS, PART_SHINGLES, KEY_BYTES = 1_000_000, 1_000_000, 7
 LOW_BITS, MARK = np.uint64(127), np.uint64(64)
 
 

@@ -33,7 +33,9 @@ from .token_ids import groups
 ORDER = 3
 ALPHABET = 95
 #: Contexts of full length that the model keeps, the most frequent ones of the sample: they bound its size.
-DEEP = 20_000
+DEEP = 10_000
+#: Rows of a batch that are taken at a time.
+ROWS = 1000
 FOLDS, HELD_OUT = 4, 2
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 ASCII_LETTER = re.compile("[A-Za-z]")
@@ -131,6 +133,19 @@ def train(docs: DataFrame, per_language: int = 400, languages: int = 64, sample_
     return Model(sorted(values), samples)
 
 
+def predicted(model: Model, found: list[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of each text."""
+    out: list[tuple[str, float]] = []
+    for a, b in groups([len(t or "") for t in found], 1_000_000):
+        part = found[a:b]
+        bits = model.bits([t or "" for t in part]) if model.languages else np.zeros((len(part), 1))
+        best = bits.argmin(axis=1)
+        odds = np.exp2(np.clip(bits.min(axis=1, keepdims=True) - bits, -1000, 0)).sum(axis=1)
+        known = [bool(model.languages) and has_letter(t) for t in part]
+        out += [(model.languages[k], float(1 / s)) if ok else ("und", 0.0) for k, s, ok in zip(best, odds, known)]
+    return out
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -139,16 +154,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         for batch in batches:
-            found = batch.column(2).to_pylist()
-            names, scores = [], []
-            for a, b in groups([len(t or "") for t in found], 1_000_000):
-                part = found[a:b]
-                bits = model.bits([t or "" for t in part]) if model.languages else np.zeros((len(part), 1))
-                best = bits.argmin(axis=1)
-                odds = np.exp2(np.clip(bits.min(axis=1, keepdims=True) - bits, -1000, 0)).sum(axis=1)
-                known = [bool(model.languages) and has_letter(t) for t in part]
-                names += [model.languages[k] if ok else "und" for k, ok in zip(best, known)]
-                scores += [float(1 / s) if ok else 0.0 for s, ok in zip(odds, known)]
+            names, scores = zip(*predicted(model, batch.column(2).to_pylist())) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, SCHEMA)
@@ -159,22 +165,19 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language could be told (not `und`), whole rows.
-
-    The same model decides, through a scalar Arrow function, so rows stay where they are.
-    """
+    """The documents whose language could be told (not `und`), whole rows; a null lang becomes the prediction."""
     model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("boolean")
-    def told(texts):
-        import pandas as pd
+    shared, at, lang = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang")
 
-        model, out, found = shared.value, [], texts.tolist()
-        for a, b in groups([len(t or "") for t in found], 1_000_000):
-            part = [t or "" for t in found[a:b]]
-            best = model.bits(part).argmin(axis=1) if model.languages else np.full(len(part), -1)
-            out += [has_letter(t) and k >= 0 for t, k in zip(part, best)]
-        return pd.Series(out, dtype=bool)
-
-    return docs.filter(told(F.col("text")))
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                found = part.column(at).to_pylist()
+                names = [name for name, _ in predicted(model, found)]
+                kind = part.schema.field(lang).type
+                given = [g if g is not None or name == "und" else name for g, name in zip(part.column(lang).to_pylist(), names)]
+                yield part.set_column(lang, part.schema.field(lang), pa.array(given, kind)).filter(pa.array([name != "und" for name in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

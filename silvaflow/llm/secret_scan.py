@@ -36,6 +36,8 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT = re.compile(r"""\b(passphrase|password|passwd|pass|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth)["']?\s{0,4}(?:[:=]|=>|\bis\b)\s{0,4}["']?([^\s"'<>,;]{8,})""", re.I | re.A)
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 GUESS_LOG10 = 8.0
+#: Rows of a batch that are taken at a time.
+ROWS = 1000
 #: Frequent words of passwords, most frequent first.
 WORDS = "password qwerty letmein dragon monkey football baseball welcome master login admin princess sunshine shadow superman iloveyou trustno hello freedom whatever secret summer winter spring autumn soccer hockey killer pepper jordan michael daniel charlie computer internet service access batman starwars flower cheese cookie banana orange purple silver golden money love test user root guest default changeme example sample token key pass word".split()
 #: Rows of a keyboard.
@@ -157,9 +159,13 @@ def redacted(text: str | None, mark: str) -> str | None:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns; in `text` each span, or run of overlapping ones, becomes the mark. n_chars, if there, follows."""
 
-    @F.pandas_udf("string")
-    def run(found):
-        return found.map(lambda t: redacted(t, mark), na_action="ignore")
+    at = docs.columns.index("text")
 
-    out = docs.withColumn("text", run(F.col("text")))
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                yield part.set_column(at, "text", pa.array([redacted(t, mark) for t in part.column(at).to_pylist()], part.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

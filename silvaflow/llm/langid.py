@@ -3,15 +3,17 @@
 For each language a context tree over bytes holds how often each byte followed each context of up
 to ORDER bytes. The cost of a byte is that of its longest context that was seen: its share there
 if the byte followed it, otherwise an escape (distinct followers / (all + distinct followers)) and
-the cost in the next shorter context, at last 1 / alphabet. Statistics are frozen after training,
-so a byte's cost depends on it and the ORDER bytes before it alone, and the trees unfold into two
-tables of costs: one of all contexts of ORDER - 1 bytes, one of the DEEP most frequent of ORDER. A text's language is the one with the least code length; the score is the
-probability that the code lengths give it among the learned languages.
+the cost in the next shorter context, at last 1 / alphabet. All 256 byte values are symbols of their
+own. Statistics are frozen after training, so a byte's cost depends on it and the ORDER bytes before
+it alone: a language's tree is kept as the sorted keys of all contexts and followers that its sample
+holds, and the costs of a slice of texts are worked out once for each distinct place in it. A text's
+language is the one with the least code length; the score is the probability that the code lengths
+give it among the learned languages.
 
 Learned from a bounded sample: of rows with text and lang in the training fold, the
-`per_language` rows of each language with the smallest hashes of doc_id, for the `languages` most
-frequent values, down to `sample_chars` characters in all. Bytes beyond the ALPHABET most frequent
-ones of the sample share one symbol. The sample is the only bound; every whole text is scored.
+`per_language` rows of each language with the smallest hashes of doc_id, down to `sample_chars`
+characters in all (but a text of each language). The sample is the only bound: every lang value is
+learned, and every whole text is scored.
 
 Results: null texts and texts without a letter get `und` and score 0, and so does every text if
 nothing could be learned. Repeated rows are scored each; ties go to the language first in order; a
@@ -31,9 +33,12 @@ from .common import bounded_rows, fold
 from .token_ids import groups
 
 ORDER = 3
-ALPHABET = 95
-#: Contexts of full length that the model keeps, the most frequent ones of the sample: they bound its size.
-DEEP = 10_000
+#: Symbols: all bytes, and 0 for what stands before a text.
+SYMBOLS = 257
+#: Characters (and costs of a text in a language) that are taken at a time.
+SLICE = 500_000
+#: Sampled ids that may be broadcast.
+FEW_IDS = 100_000
 #: Rows of a batch that are taken at a time.
 ROWS = 1000
 FOLDS, HELD_OUT = 4, 2
@@ -41,45 +46,60 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 ASCII_LETTER = re.compile("[A-Za-z]")
 
 
+def at_keys(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key stands among the sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of each one's counts."""
+    names, at = np.unique(keys, return_inverse=True)
+    return names, np.bincount(at, counts, len(names)).astype(np.int64)
+
+
 class Model:
-    """symbols: byte -> symbol; shallow: costs in bits by (context of ORDER - 1 symbols and symbol, language);
-    rows: context of ORDER symbols -> its row, or -1; deep: costs by (row and symbol, language)."""
+    """symbols: byte -> symbol; trees: for each language and order 0 to ORDER the sorted keys of (context, follower),
+    their bits, the sorted contexts and the bits of an escape from each."""
 
     def __init__(self, languages: list[str], samples: dict[str, list[str]]):
         self.languages = languages
-        coded = {k: [t.encode().lower() for t in samples[k]] for k in languages}
-        seen = np.zeros(256, np.int64)
-        for k in languages:
-            for t in coded[k]:
-                seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-        common = [int(b) for b in np.argsort(-seen, kind="stable")[:ALPHABET] if seen[b]]
-        self.symbols = np.zeros(256, np.int32)  # 0: the others and what stands before the text
-        self.symbols[common] = np.arange(1, len(common) + 1)
-        self.n = n = len(common) + 1
-        if not languages:
-            return
-        places = {k: self.contexts(coded[k])[0] for k in languages}
-        often = sum(np.bincount(p // n, minlength=n**ORDER) for p in places.values())
-        kept = np.sort(np.argsort(-often, kind="stable")[: min(DEEP, np.count_nonzero(often))])
-        self.rows = np.full(n**ORDER, -1, np.int32)
-        self.rows[kept] = np.arange(len(kept))
-        trees = [self._tree(places[k], kept) for k in languages]
-        self.shallow, self.deep = (np.stack([t[i].reshape(-1) for t in trees], axis=-1).astype(np.float32) for i in (0, 1))
-
-    def _tree(self, places: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, share = self.n, np.array(1.0 / self.n)
-        for order in range(ORDER):
-            share = self._shares(np.bincount(places % n ** (order + 1), minlength=n ** (order + 1)).reshape((n,) * (order + 1)), share)
-        known = places[self.rows[places // n] >= 0]
-        counts = np.bincount(self.rows[known // n].astype(np.int64) * n + known % n, minlength=len(kept) * n).reshape(len(kept), n)
-        return -np.log2(share), -np.log2(self._shares(counts, share.reshape(-1, n)[kept % n ** (ORDER - 1)]))
-
-    @staticmethod
-    def _shares(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Of followers of contexts: seen ones by their counts, others by an escape and the shorter context's share."""
-        total, kinds = counts.sum(axis=-1, keepdims=True), (counts > 0).sum(axis=-1, keepdims=True)
-        weight = np.maximum(total + kinds, 1)
-        return np.where(counts > 0, counts / weight, np.where(total > 0, kinds / weight, 1.0) * np.broadcast_to(lower, counts.shape))
+        self.n = SYMBOLS
+        self.symbols = np.arange(1, SYMBOLS, dtype=np.int32)
+        self.trees = [self._tree(*self._counted(samples[k])) for k in languages]
+
+    def _counted(self, sample: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct places of a sample, and how often each occurs."""
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for a, b in groups([len(t) for t in sample], SLICE):
+            new, times = np.unique(self.contexts([t.encode().lower() for t in sample[a:b]])[0], return_counts=True)
+            keys, counts = summed(np.concatenate([keys, new]), np.concatenate([counts, times]))
+        return keys, counts
+
+    def _tree(self, places: np.ndarray, times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        out = []
+        for order in range(ORDER + 1):
+            keys, counts = summed(places % self.n ** (order + 1), times)
+            contexts, own, kinds = np.unique(keys // self.n, return_inverse=True, return_counts=True)
+            weight = np.bincount(own, counts, len(contexts)) + kinds
+            out.append((keys, np.log2(weight[own] / counts).astype(np.float32), contexts, np.log2(weight / kinds).astype(np.float32)))
+        return out
+
+    def _costs(self, tree: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], places: np.ndarray) -> np.ndarray:
+        """Bits of distinct places in one language: by the longest seen context, escapes on the way to it."""
+        out, left = np.zeros(len(places), np.float32), np.arange(len(places))
+        for order in range(ORDER, -1, -1):
+            keys, bits, contexts, escapes = tree[order]
+            wanted = places[left] % self.n ** (order + 1)
+            at, seen = at_keys(keys, wanted)
+            out[left[seen]] += bits[at[seen]]
+            left, wanted = left[~seen], wanted[~seen]
+            at, seen = at_keys(contexts, wanted // self.n)
+            out[left[seen]] += escapes[at[seen]]
+        out[left] += np.float32(np.log2(self.n))
+        return out
 
     def contexts(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The place in the table of each byte of the texts, and where the texts begin in it (and end)."""
@@ -98,14 +118,12 @@ class Model:
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code length of each text in each language."""
         place, bounds = self.contexts([t.encode().lower() for t in texts])
-        each = self.shallow[place % self.n**ORDER]
-        row = self.rows[place // self.n].astype(np.int64)
-        known = row >= 0
-        each[known] = self.deep[row[known] * self.n + place[known] % self.n]
+        distinct, at = np.unique(place, return_inverse=True)
         out = np.zeros((len(texts), len(self.languages)))
         some = bounds[1:] > bounds[:-1]
         if some.any():
-            out[some] = np.add.reduceat(each, bounds[:-1][some], axis=0, dtype=np.float64)
+            for k, tree in enumerate(self.trees):
+                out[some, k] = np.add.reduceat(self._costs(tree, distinct)[at], bounds[:-1][some], dtype=np.float64)
         return out
 
 
@@ -113,30 +131,30 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
-def train(docs: DataFrame, per_language: int = 400, languages: int = 64, sample_chars: int = 16_000_000) -> Model:
+def train(docs: DataFrame, per_language: int = 400, sample_chars: int = 16_000_000) -> Model:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     taught = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    values = [r.lang for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    values = sorted(r.lang for r in taught.select("lang").distinct().collect())
     if not values:
         return Model([], {})
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = taught.filter(F.col("lang").isin(values)).select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language)
-    # at most languages * per_language ids, so the broadcast is bounded
-    chosen = taught.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    ids = taught.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language)
+    ids = ids.select("doc_id", "lang").distinct()
+    chosen = taught.join(F.broadcast(ids) if len(values) * per_language <= FEW_IDS else ids, ["doc_id", "lang"]).select("doc_id", "lang", "text")
     samples: dict[str, list[str]] = {k: [] for k in values}
-    share, used = sample_chars // len(values), dict.fromkeys(values, 0)
+    share, used = max(1, sample_chars // len(values)), dict.fromkeys(values, 0)
     for r in bounded_rows(chosen):
         if used[r.lang] < share:
             samples[r.lang].append(r.text)
             used[r.lang] += len(r.text)
-    return Model(sorted(values), samples)
+    return Model(values, samples)
 
 
 def predicted(model: Model, found: list[str | None]) -> list[tuple[str, float]]:
     """(language, score) of each text."""
     out: list[tuple[str, float]] = []
-    for a, b in groups([len(t or "") for t in found], 1_000_000):
+    for a, b in groups([len(t or "") + len(model.languages) for t in found], SLICE):
         part = found[a:b]
         bits = model.bits([t or "" for t in part]) if model.languages else np.zeros((len(part), 1))
         best = bits.argmin(axis=1)

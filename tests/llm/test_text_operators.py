@@ -367,6 +367,41 @@ def test_code_lengths_against_the_definition():
         assert m.bits([text])[0][k] == pytest.approx(want, rel=1e-5)
 
 
+def test_code_lengths_of_many_contexts_and_bytes():
+    import math
+    from collections import Counter
+
+    random.seed(4)
+    sample = "".join(chr(random.randrange(0x400, 0x800)) + chr(random.randrange(33, 127)) for _ in range(12_000))
+    coded = [-1] * 3 + list(sample.encode().lower())
+    seen = [Counter(tuple(coded[i - k : i + 1]) for i in range(3, len(coded))) for k in range(4)]
+    total, kinds = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
+    for k in range(4):
+        for key, count in seen[k].items():
+            total[k][key[:-1]] += count
+            kinds[k][key[:-1]] += 1
+    assert len(total[3]) > 20_000 and len(set(coded)) > 120
+
+    def share(key):
+        k, context = len(key) - 1, key[:-1]
+        if seen[k][key]:
+            return seen[k][key] / (total[k][context] + kinds[k][context])
+        escape = kinds[k][context] / (total[k][context] + kinds[k][context]) if total[k][context] else 1
+        return escape * (share(key[1:]) if k else 1 / 257)
+
+    text = sample[5000:6000] + "\u07ff\u0400 z\u3042"
+    s = [-1] * 3 + list(text.encode().lower())
+    want = -sum(math.log2(share(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s)))
+    assert langid.Model(["a"], {"a": [sample]}).bits([text, ""]).tolist() == [[pytest.approx(want, rel=1e-5)], [0]]
+
+
+def test_every_language_is_learned(spark):
+    langs = {k: f"l{k % 70:02}" for k in range(700)}
+    texts = [" ".join(chr(0x4E00 + 40 * (k % 70) + (k + i) % 7) * 2 for i in range(5)) for k in range(700)]
+    got = by_id(langid.identify(table(spark, texts, langs)))
+    assert {k for k in range(700) if got[k].lang_pred != langs[k]} == set()
+
+
 # personal data
 
 

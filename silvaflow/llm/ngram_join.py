@@ -14,19 +14,19 @@ link when 100 * intersection >= 80 * union.
    of its own rows into one row and a few links, so a very frequent cell is one row from each task.
 3. Signature trees. Each group's sets are the leaves of a tree, ordered by their smallest hashes; a
    node holds the OR of its leaves' bitmaps, their range of sizes and how far sizes exceed bitmaps.
-   The dual traversal descends into pairs of nodes whose largest possible overlap may still
-   reach 0.8, and that aren't in one component already; pairs of leaves that pass are compared
-   exactly. Small groups share tasks. A group too large for one is cut into chunks: each chunk is
-   joined along with a few pivots, which ties the bulk of a dense group together; then the sets
-   outside the group's largest component meet every chunk and one another, block by block.
-4. The links' connected components give component_id.
+   The dual traversal descends into all pairs of nodes whose sizes and largest possible overlap may
+   still reach 0.8; pairs of leaves that pass are compared exactly. Small groups share tasks. A group
+   too large for one is cut into chunks, and each chunk meets itself and every other one in a task
+   of its own, so each pair of sets is looked at once.
+4. The links' connected components give component_id. A class's links are counted with the members
+   of the classes that it links with; n_links adds the other members of its own class.
 
-No link between different texts is missed, none is capped; links that would tie what is already one
-component are skipped. Sets and links stay distributed.
+No link is missed, capped or left uncounted. Sets and links stay distributed; of a task's links, their
+numbers for each class and a star for each component go out.
 
 Nulls: a null or blank text has an empty set and links with nothing; rows with a null doc_id are
 returned, link with nothing and have a null component_id. Rows that repeat a doc_id count as one
-document with each of these sets. An empty table gives an empty result. Other columns are ignored by
+document with each of these sets; n_links counts rows: all others with a doc_id whose set links. An empty table gives an empty result. Other columns are ignored by
 near_duplicates(), kept by one_of_each().
 """
 
@@ -46,10 +46,12 @@ from .exact_dedup import asked, merged
 SHINGLE = 5
 BITS = 2048
 LEAVES, FANOUT = 32, 8
-#: What one task compares at a time: sets, and shingles in them; and sets outside the bulk in a block.
+#: What one task compares at a time, or twice that: sets, and shingles in them. The last two have no effect any more.
 CHUNK_SETS, CHUNK_SHINGLES, BLOCK_SETS, PIVOTS = 4096, 3_000_000, 4096, 64
 #: Rows of cells that a task folds at a time; shingles of all documents whose cells make a part; bytes of a cell's key there.
 FOLD_ROWS, PART_SHINGLES, KEY_BYTES = 1_000_000, 1_000_000, 7
+#: Pairs of a block from which on it is compared by a matrix product, and the most shared shingles for that.
+MANY, WIDE = 16, 65_536
 LOW_BITS, MARK = np.uint64(127), np.uint64(64)
 
 
@@ -176,33 +178,34 @@ def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1].astype(np.int64) + base
 
 
-def enough(common: int, a: int, b: int) -> bool:
+def enough(common, a, b):
     return 100 * common >= 80 * (a + b - common)
 
 
 class Tree:
-    """A signature tree over sets, for joining them with one another."""
+    """A signature tree over distinct sets, for joining them with one another, or only those of unlike sides."""
 
-    def __init__(self, sets: list[np.ndarray], labels: list[int]):
-        order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), int(sets[i][1 % len(sets[i])]), len(sets[i]), i))
-        self.order, self.sets = order, [sets[i] for i in order]
+    def __init__(self, sets: list[np.ndarray], members: list[int], sides: list[int], across: bool):
+        order = sorted(range(len(sets)), key=lambda i: (sides[i], int(sets[i][0]), int(sets[i][1 % len(sets[i])]), len(sets[i]), i))
+        self.order, self.sets, self.across = order, [sets[i] for i in order], across
         self.sizes = np.array([len(s) for s in self.sets])
+        self.members = np.array([members[i] for i in order], np.int64)
+        self.sides = np.array([sides[i] for i in order], np.int64)
         self.bits = np.zeros((len(sets), BITS // 64), np.uint64)
         for k, s in enumerate(self.sets):
             b = (s % np.uint64(BITS)).astype(np.int64)
             np.bitwise_or.at(self.bits[k], b >> 6, np.uint64(1) << (b & 63).astype(np.uint64))
         self.excess = self.sizes - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
         self.parent = list(range(len(sets)))
-        self.links: list[tuple[int, int]] = []
-        seen: dict[int, int] = {}
-        for k, i in enumerate(order):
-            self.parent[k] = seen.setdefault(labels[i], k)
-        #: levels from the leaves' nodes up: (bitmaps, least size, most size, most excess), and leaves a node
+        self.counts = np.zeros(len(sets), np.int64)
+        self.nodes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: levels from the leaves' nodes up: (bitmaps, least size, most size, most excess, least side, most side), and leaves a node
         self.levels, self.widths = [], []
-        values, width = (self.bits, self.sizes, self.sizes, self.excess), 1
+        values, width = (self.bits, self.sizes, self.sizes, self.excess, self.sides, self.sides), 1
         for fan in (LEAVES, *[FANOUT] * 20):
             starts = np.arange(0, len(values[0]), fan)
-            values = (np.bitwise_or.reduceat(values[0], starts), np.minimum.reduceat(values[1], starts), np.maximum.reduceat(values[2], starts), np.maximum.reduceat(values[3], starts))
+            by = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
+            values = tuple(f.reduceat(v, starts) for f, v in zip(by, values))
             width *= fan
             self.levels.append(values)
             self.widths.append(width)
@@ -214,28 +217,46 @@ class Tree:
             self.parent[k] = k = self.parent[self.parent[k]]
         return k
 
-    def compare(self, i: int, j: int) -> None:
-        a, b = self.sets[i], self.sets[j]
-        if self.root(i) != self.root(j) and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)):
-            if enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
-                self.parent[self.root(j)] = self.root(i)
-                self.links.append((i, j))
-
     def span(self, level: int, k: int) -> range:
         return range(k * self.widths[level], min(len(self.sets), (k + 1) * self.widths[level]))
 
-    def one(self, level: int, i: int, j: int) -> bool:
-        """Is all under both nodes one component?"""
-        r = self.root(i * self.widths[level])
-        return all(self.root(k) == r for span in (self.span(level, i), self.span(level, j)) for k in span)
-
     def possible(self, level: int, i: int, j: int) -> bool:
-        bits, least, most, excess = self.levels[level]
+        bits, least, most, excess, first, last = self.levels[level]
+        if self.across and first[i] == last[i] == first[j] == last[j]:
+            return False
         if 5 * most[i] < 4 * least[j] or 5 * most[j] < 4 * least[i]:
             return False
         overlap = int(np.bitwise_count(bits[i] & bits[j]).sum()) + int(min(excess[i], excess[j]))
         return 9 * min(overlap, most[i], most[j]) >= 4 * (least[i] + least[j])
 
+    def node(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct shingles of a leaves' node, and (leaf, place among them) of all its shingles."""
+        if i not in self.nodes:
+            span = self.span(0, i)
+            names, at = np.unique(np.concatenate([self.sets[k] for k in span]), return_inverse=True)
+            self.nodes[i] = names, np.repeat(np.arange(len(span)), self.sizes[span.start : span.stop]), at.reshape(-1)
+        return self.nodes[i]
+
+    def common(self, i: int, j: int, near: np.ndarray) -> np.ndarray:
+        """Exact sizes of the intersections of the leaves of two nodes, at least where near."""
+        rows, columns = self.span(0, i), self.span(0, j)
+        if np.count_nonzero(near) >= MANY:
+            (a, *left), (b, *right) = self.node(i), self.node(j)
+            _, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            if len(x) <= WIDE:
+                sides = []
+                for names, (leaf, at), shared, n in ((a, left, x, len(rows)), (b, right, y, len(columns))):
+                    column = np.full(len(names), -1, np.int64)
+                    column[shared] = np.arange(len(shared))
+                    column = column[at]
+                    sides.append(np.zeros((n, len(shared)), np.float32))
+                    sides[-1][leaf[column >= 0], column[column >= 0]] = 1
+                return np.rint(sides[0] @ sides[1].T).astype(np.int64)
+        out = np.zeros(near.shape, np.int64)
+        for x, y in zip(*np.nonzero(near)):
+            out[x, y] = len(np.intersect1d(self.sets[rows[x]], self.sets[columns[y]], assume_unique=True))
+        return out
+
     def leaves(self, i: int, j: int) -> None:
         rows, columns = self.span(0, i), self.span(0, j)
         a, b = slice(rows.start, rows.stop), slice(columns.start, columns.stop)
@@ -243,19 +264,27 @@ class Tree:
         m, n = self.sizes[a, None], self.sizes[None, b]
         overlap = both + np.minimum(self.excess[a, None], self.excess[None, b])
         near = 9 * np.minimum(overlap, np.minimum(m, n)) >= 4 * (m + n)
-        for x, y in zip(*np.nonzero(near)):
-            if i != j or x < y:
-                self.compare(a.start + int(x), b.start + int(y))
-
-    def join(self) -> list[tuple[int, int]]:
-        """Places (in the given order) of sets that link, enough to tie each component together."""
-        for step in (1, 2):  # neighbours in order first: near copies mostly stand together
-            for k in range(len(self.sets) - step):
-                self.compare(k, k + step)
+        if i == j:
+            near = np.triu(near, 1)
+        if self.across:
+            near &= self.sides[a, None] != self.sides[None, b]
+        if not near.any():
+            return
+        common = self.common(i, j, near)
+        linked = near & enough(common, m, n)
+        self.counts[a] += linked @ self.members[b]
+        self.counts[b] += self.members[a] @ linked
+        x, y = np.nonzero(linked)
+        labels = np.array([self.root(k) for k in rows]), np.array([self.root(k) for k in columns])
+        for p, q in np.unique(np.stack([labels[0][x], labels[1][y]], axis=1), axis=0).tolist():
+            self.parent[self.root(q)] = self.root(p)
+
+    def join(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each set, in the given order: how many members of others it links with, and a set of its component."""
         stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, i, j = stack.pop()
-            if not self.possible(level, i, j) or self.one(level, i, j):
+            if not self.possible(level, i, j):
                 continue
             if not level:
                 self.leaves(i, j)
@@ -264,7 +293,10 @@ class Tree:
             for x in range(i * below, min(n, (i + 1) * below)):
                 for y in range(max(j * below, x if i == j else 0), min(n, (j + 1) * below)):
                     stack.append((level - 1, x, y))
-        return [(self.order[i], self.order[j]) for i, j in self.links]
+        counts, first = np.empty(len(self.sets), np.int64), np.empty(len(self.sets), np.int64)
+        counts[self.order] = self.counts
+        first[self.order] = [self.order[self.root(k)] for k in range(len(self.sets))]
+        return counts, first
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -392,48 +424,65 @@ def _groups(docs: DataFrame, shingles_in_all: int) -> DataFrame:
 
 
 def _trees(rows: DataFrame) -> DataFrame:
-    """Links (a, b) among rows (task, part, id, label, text): those of one task and part are joined."""
+    """Of rows (task, part, across, side, id, hi, lo, members, text), those of one task and part joined (across: of unlike
+    sides only): links (a, b) that tie components together, and rows (hi, lo, n) of how many members each class links with."""
 
     def run(key, found):
-        ids, parts, labels, contents = (found.column(c).to_pylist() for c in ("id", "part", "label", "text"))
+        names = ("id", "part", "across", "side", "hi", "lo", "members", "text")
+        ids, parts, across, sides, his, los, members, contents = (found.column(c).to_pylist() for c in names)
         by_part: dict = {}
         for k, part in enumerate(parts):
             by_part.setdefault(part, []).append(k)
-        links = []
+        tied, counted = [np.empty((0, 2), np.int64)], []
         for places in by_part.values():
-            if len(places) > 1:
-                links += [(ids[places[i]], ids[places[j]]) for i, j in Tree([shingles(contents[k]) for k in places], [labels[k] for k in places]).join()]
+            sets, own = [], {}
+            for k in places:
+                # an id that comes with several texts: each class goes with its own text, once
+                if (his[k], los[k]) not in own and digest(content := shingles(contents[k])) == (his[k], los[k]):
+                    own[his[k], los[k]] = k
+                    sets.append(content)
+            at = list(own.values())
+            if len(at) > 1:
+                counts, first = Tree(sets, [members[k] for k in at], [sides[k] for k in at], across[at[0]]).join()
+                named = np.array([ids[k] for k in at], np.int64)
+                tied.append(np.stack([named, named[first]], axis=1)[named != named[first]])
+                counted += [(his[k], los[k], n) for k, n in zip(at, counts.tolist()) if n]
         # as stars, which components are soon found of
-        stars = forest(*np.array(links, np.int64).reshape(-1, 2).T)
-        return pa.table({"a": pa.array(stars[:, 0]), "b": pa.array(stars[:, 1])})
+        stars = forest(*np.concatenate(tied).T)
+        hi, lo, n = zip(*counted) if counted else ((), (), ())
+        none = lambda k: [None] * k
+        columns = [*(stars[:, k].tolist() + none(len(n)) for k in (0, 1)), *(none(len(stars)) + list(x) for x in (hi, lo, n))]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "hi", "lo", "n"), columns)})
 
-    return rows.groupBy("task").applyInArrow(run, "a long, b long")
+    return rows.groupBy("task").applyInArrow(run, "a long, b long, hi long, lo long, n long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of each document."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links of each document."""
     rows, classes = _classes(docs)
-    # members of groups with two sets or more: id, n, component
-    grouped = written(classes.select("id", "n").join(_groups(docs, rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "id"), "grouped")
-    tallies = grouped.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("id").alias("least"))
+    # members of groups with two sets or more: id, n, hi, lo, members, component
+    grouped = written(classes.join(_groups(docs, rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), "id"), "grouped")
+    tallies = grouped.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     tallies = written(tallies.filter("sets > 1").withColumn("chunks", F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("shingles") / CHUNK_SHINGLES))), "tallies")
     total = tallies.agg(F.coalesce(F.sum("sets"), F.lit(0)).alias("sets"), F.coalesce(F.sum("shingles"), F.lit(0)).alias("shingles"), F.coalesce(F.max("chunks"), F.lit(0)).alias("chunks")).first()
     placed = join_skewed(grouped, tallies, ["component"], "sets", max(1, total.sets))
     # one text for each class; a doc_id that comes with several texts is compared with each
     text = texts(docs).withColumnRenamed("doc_id", "id").filter(F.col("id").isNotNull())
     members = placed.join(text.filter(_wanted(placed, total.sets)(F.col("id"))), "id")
-    task = lambda *c: F.xxhash64(*c)
     bins = max(1, -(-int(total.shingles) // (CHUNK_SHINGLES // 2)))
-    small = members.filter("chunks <= 1").select(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("task"), F.col("component").alias("part"), "id", F.col("id").alias("label"), "text")
-    links = written(_trees(small), "links")
+    columns = ["id", "hi", "lo", "members", "text"]
+    small = members.filter("chunks <= 1").select(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("task"), F.col("component").alias("part"), F.lit(False).alias("across"), F.lit(0).alias("side"), *columns)
+    joined = written(_trees(small), "links")
     if total.chunks > 1:
-        links = links.union(_large(written(members.filter("chunks > 1"), "large"), task))
-    found = connected(links)
-    named = classes.join(found.select("id", "component"), "id", "left").select("hi", "lo", "members", F.coalesce("component", "id").alias("component_id"))
+        joined = joined.union(written(_trees(_large(members.filter("chunks > 1"), columns)), "links"))
+    found = connected(joined.filter("a is not null").select("a", "b"))
+    counts = joined.filter("n is not null").groupBy("hi", "lo").agg(F.sum("n").alias("near"))
+    named = classes.join(found.select("id", "component"), "id", "left").join(counts, ["hi", "lo"], "left")
+    named = named.select("hi", "lo", "members", F.coalesce("component", "id").alias("component_id"), (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     tied = join_skewed(rows.filter(own), named, ["hi", "lo"], "members", rows.count())
-    alone = rows.filter(~F.coalesce(own, F.lit(False))).withColumn("component_id", F.col("doc_id"))
-    return tied.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone.select("doc_id", "n", "component_id"))
+    alone = rows.filter(~F.coalesce(own, F.lit(False))).withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
+    return tied.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").union(alone.select("doc_id", "n", "component_id", "n_links"))
 
 
 def _wanted(ids: DataFrame, n: int):
@@ -442,27 +491,13 @@ def _wanted(ids: DataFrame, n: int):
     return lambda ident: maybe(F.xxhash64(ident))
 
 
-def _large(members: DataFrame, task) -> DataFrame:
-    """Links of the groups that don't fit one task."""
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks"))
-    pivot = F.pmod(F.xxhash64("id", F.lit(1)), F.col("sets")) < PIVOTS
+def _large(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the groups that don't fit one task, for _trees: a chunk meets itself and each other one in a task of their own."""
+    chunk = F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("long")
     every = F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)
-    first = members.withColumn("chunk", F.explode(F.when(pivot, every).otherwise(F.array(chunk.cast("long")))))
-    inside = written(_trees(first.select(task("component", "chunk").alias("task"), F.lit(0).cast("long").alias("part"), "id", F.col("id").alias("label"), "text")), "links")
-    labelled = members.join(connected(inside).withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    bulk = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("bulk"), (F.sum("count") - F.max("count")).alias("others"))
-    split = written(labelled.join(bulk, "component"), "split")
-    split = split.withColumn("blocks", F.ceil(F.col("others") / BLOCK_SETS)).filter("blocks > 0").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("long"))
-    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)
-    outside = F.col("label") != F.col("bulk")
-    # the bulk's chunks against each block of the others
-    inner = split.filter(~outside).withColumn("x", chunk.cast("long")).withColumn("y", F.explode(blocks))
-    outer = split.filter(outside).withColumn("x", F.explode(every)).withColumn("y", F.col("block"))
-    # the others' blocks against one another
-    among = split.filter(outside).withColumn("other", F.explode(blocks)).withColumn("x", -1 - F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    columns = [task("component", "x", "y").alias("task"), F.lit(0).cast("long").alias("part"), "id", "label", "text"]
-    across = _trees(inner.select(*columns).union(outer.select(*columns)).union(among.select(*columns)))
-    return inside.union(written(across, "links"))
+    met = members.withColumn("chunk", chunk).withColumn("other", F.explode(every))
+    x, y = F.least("chunk", "other"), F.greatest("chunk", "other")
+    return met.select(F.xxhash64("component", x, y).alias("task"), F.col("component").alias("part"), (x != y).alias("across"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), *columns)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -286,6 +286,25 @@ def test_ngram_join(spark, monkeypatch, seed):
         assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
+@pytest.mark.parametrize("chunk_sets", [4096, 7])
+def test_ngram_join_counts_every_link(spark, monkeypatch, chunk_sets):
+    """A dense group of near copies, small families, exact copies: n_links against all pairs."""
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", chunk_sets)
+    base = [f"w{k}" for k in range(120)]
+    texts = families(9)
+    for k in range(90):
+        words = list(base)
+        for p in range(k % 7):
+            words[(k * 13 + p * 31) % 120] = f"n{k}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts)]
+    want = {a: sum(a != b and 100 * len(x & y) >= 80 * len(x | y) for b, y in enumerate(sets)) if x else 0 for a, x in enumerate(sets)}
+    assert max(want.values()) > 30
+    got = ngram_join.near_duplicates(table(spark, texts)).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(list(enumerate(texts)))
+
+
 def test_ngram_join_of_nothing(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     rows = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.near_duplicates(docs).collect())

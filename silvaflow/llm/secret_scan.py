@@ -5,11 +5,11 @@ Base spans, leftmost non-overlapping for each kind, in code points with the end
     access  AKIA and capitals or digits; kept from 20 characters on
     hex     lower-case hexadecimal digits; kept from 24 on
 
-Method: a value that stands after a wider set of credential names is cut into words, dates,
-repeats, keyboard walks and brute-force characters so that the guesses cost least (dynamic
-programming over its places). From GUESS_LOG10 on, if it mixes letters with digits or marks and
-overlaps no base span, its value becomes a span of kind `guess`. The cost of every base `assign`
-value is reported too.
+Method: a value of 8 or more characters that stands after a wider set of credential names, which may
+end a longer name, is cut into words, dates, repeats, keyboard walks and brute-force characters so
+that the guesses cost least (dynamic programming over its places). From GUESS_LOG10 on, whatever its
+characters, the value becomes a span of kind `guess`, unless base spans cover all of it; it may reach
+past one. The cost of every base `assign` value is reported too.
 
 Nulls: a null text is empty and has no spans. Repeated rows are scanned each; a null doc_id stays
 null. Other columns are ignored by scan(), kept by redact().
@@ -33,7 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Each match of ASSIGN holds one of these.
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CONTEXT = re.compile(r"""\b(passphrase|password|passwd|pass|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth)["']?\s{0,4}(?:[:=]|=>|\bis\b)\s{0,4}["']?([^\s"'<>,;]{8,})""", re.I | re.A)
+CONTEXT = re.compile(r"""(passphrase|password|passwd|pass|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth)["']?\s{0,4}(?:[:=]|=>|\bis\b)\s{0,4}["']?([^\s"'<>,;]{8,})""", re.I | re.A)
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 GUESS_LOG10 = 8.0
 #: Rows of a batch that are taken at a time.
@@ -43,6 +43,7 @@ WORDS = "password qwerty letmein dragon monkey football baseball welcome master
 #: Rows of a keyboard.
 KEYS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])")
+LONGEST_DATE = 10
 RANK = {w: k + 1 for k, w in enumerate(WORDS)}
 LONGEST_WORD = max(map(len, WORDS))
 #: What common substitutions stand for.
@@ -82,8 +83,9 @@ def guess_log10(value: str) -> float:
             if rank:
                 capitals = sum(c.isupper() for c in value[i:j])
                 cost[j] = min(cost[j], cost[i] + math.log10(2 * rank) + math.log10(1 + capitals))
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            cost[m.end()] = min(cost[m.end()], cost[i] + math.log10(200 if m.end() - i == 4 else 200 * 365))
+        for j in range(i + 4, min(n, i + LONGEST_DATE) + 1) if value[i].isdigit() else ():  # a year or a date of any length
+            if DATE.fullmatch(value, i, j):
+                cost[j] = min(cost[j], cost[i] + math.log10(200 if j - i == 4 else 200 * 365))
         for unit in (1, 2, 3, 4):  # a repeat of one to four characters
             j = i + unit
             while low[j : j + unit] == low[i : i + unit] and j + unit <= n:
@@ -112,14 +114,15 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[float]]:
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(x in low for x in CONTEXT_HINTS):
-        base = list(spans)
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(2)
+        covered, at = {k for _, s, e in spans for k in range(s, e)}, 0
+        while m := CONTEXT.search(text, at):
+            a, at = m.start(2), m.end(1)  # a value that isn't taken may hold the next name
             value = m[2].rstrip(".:)]}")
             b = a + len(value)
-            mixed = any(c.isalpha() for c in value) and any(c.isdigit() or not c.isalnum() for c in value.rstrip("!?-_"))
-            if len(value) >= 8 and mixed and all(b <= s or e <= a for _, s, e in base) and guess_log10(value) >= GUESS_LOG10:
-                spans.append(("guess", a, b))
+            if len(value) >= 8 and guess_log10(value) >= GUESS_LOG10:
+                at = b
+                if not covered.issuperset(range(a, b)):
+                    spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))), costs
 
 

@@ -502,6 +502,19 @@ def test_secret_spans():
     assert f("") == ""
 
 
+def test_secret_values_of_all_names_and_characters():
+    f = lambda t: secret_scan.joined(secret_scan.find(t)[0])
+    assert f('db_password = "P@ss!w0rd#91x"') == "guess:15:28"
+    assert f("client_secret: q!7zK#pL0$w") == "guess:15:26"
+    assert f('password="hunter2024!Zq#91"') == "assign:0:20,guess:10:26"
+    assert secret_scan.redacted('password="hunter2024!Zq#91"', "[SECRET]") == '[SECRET]"'
+    assert f("passphrase: qzmxvkwtpbnhgjrd") == "guess:12:28" and f("pwd: 837465019283") == "guess:5:17"
+    assert f("compass: password = 'P@ss!w0rd#91x'") == "guess:21:34"
+    assert f("password: password1999") == "assign:0:22"
+    g = secret_scan.guess_log10
+    assert g("2024-05-12") == g("20240512") == pytest.approx(np.log10(200 * 365))
+
+
 def test_guess_costs_against_all_segmentations():
     """Each repeat, walk, word or date is cheaper than its characters, and no segmentation is cheaper than the reported one."""
     g = secret_scan.guess_log10

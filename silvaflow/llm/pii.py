@@ -3,7 +3,8 @@
 Found and validated: e-mail addresses, IBANs (remainder 97), dates (of the calendar, 1900 to 2099),
 IPv4 addresses (parts to 255), social security numbers (no zero part, no 000, 666 or 9xx area),
 North American telephone numbers, and payment cards (13 to 19 digits, Luhn). What fails its
-validation stays as it is.
+validation stays as it is. In a run of groups of digits a card may begin and end at any group: the
+first valid ones are taken, the longest from each group, and marked before the other kinds are sought.
 
 A value is cut into halves; in each round one half is shifted by what a keyed SHA-256 of the other
 gives. A shift keeps a letter a letter of its case and a digit a digit, or stays within the half's
@@ -30,8 +31,12 @@ DATE = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.
 IPV4 = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 PHONE = r"(?<![0-9A-Za-z+(])(?:\+?1[ .-]?)?(?:\([1-9][0-9]{2}\)[ .-]?|[1-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, IBAN, DATE, IPV4, SSN, PHONE, CARD))
+#: Digits, spaces and hyphens that may hold a card; a card found there, between two noncharacters.
+RUN = r"(?<![0-9A-Za-z])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z])"
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+CARD = OPEN + r"[0-9](?:[ -]?[0-9]){12,18}" + CLOSE
+OTHERS = (EMAIL, IBAN, DATE, IPV4, SSN, PHONE)
+ANY, RUNS = "|".join((*OTHERS, CARD)), "|".join((*OTHERS, RUN))
 KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card")
 #: Days from 1900-01-01 to 2099-12-31: 73049 = 17 * 4297.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
@@ -155,13 +160,46 @@ def phone(m: Column, key: str) -> Column:
     return let(moved, lambda d: F.concat(g(1), g(2), F.substring(d, 1, 2), g(4), g(5), F.substring(d, 3, 2), g(7), F.substring(d, 5, 4)))
 
 
-def card(m: Column, key: str) -> Column:
+def card(marked: Column, key: str) -> Column:
+    m = F.regexp_replace(marked, f"[{OPEN}{CLOSE}]", "")
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = F.concat(F.substring(m, 1, 1), feistel_text(m.substr(F.lit(2), F.length(m) - 2), key, "card"))
     check = lambda b: F.pmod(10 - luhn(F.concat(F.regexp_replace(b, "[^0-9]", ""), F.lit("0"))), F.lit(10)).cast("string")
     return F.when(luhn(digits) == 0, let(body, lambda b: F.concat(b, check(b))))
 
 
+def marked_run(run: Column) -> Column:
+    """A run with OPEN and CLOSE around each card: from the first group on, the longest valid one that begins there."""
+
+    def valid(groups, k, n):
+        parts = F.slice(groups, k, n)
+        digits = F.array_join(parts, "")
+        return F.when(F.length(digits).between(13, 19) & F.forall(parts, lambda p: p != ""), luhn(digits) == 0).otherwise(F.lit(False))
+
+    def longest(groups, k):
+        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - k + 1)), lambda n: valid(groups, k, n))), F.lit(0))
+
+    def step(s, x):
+        left = F.when(s["left"] > 0, s["left"]).otherwise(x["n"])  # groups of a card from here on
+        piece = F.concat(F.when((s["left"] == 0) & (left > 0), OPEN).otherwise(""), x["group"], F.when(left == 1, CLOSE).otherwise(""))
+        return F.struct(F.greatest(left - 1, F.lit(0)).alias("left"), F.concat(s["out"], F.array(piece)).alias("out"))
+
+    def rebuilt(groups):
+        each = F.transform(groups, lambda g, i: F.struct(g.alias("group"), longest(groups, i + 1).alias("n")))
+        start = F.struct(F.lit(0).alias("left"), F.array().cast("array<string>").alias("out"))
+        pieces = F.aggregate(each, start, step, lambda s: s["out"])
+        return F.array_join(F.zip_with(pieces, F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(F.split(run, "[ -]", -1), rebuilt)
+
+
+def with_cards_marked(text: Column) -> Column:
+    """The text with its cards marked, outside what is matched by another kind first."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(RUNS), F.lit(0)), lambda m: F.when(m.rlike("^[0-9][0-9 -]{11,}[0-9]$"), marked_run(m)).otherwise(m))
+    pieces = F.zip_with(F.split(text, RUNS, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.rlike(RUN), F.array_join(pieces, "")).otherwise(text)
+
+
 def kind_of(m: Column) -> Column:
     """The kind whose pattern a match has."""
     return (
@@ -176,7 +214,7 @@ def kind_of(m: Column) -> Column:
 
 
 def _found(key: str) -> Column:
-    """For each match of the text: its kind, the match and its pseudonym (null if it is no valid value)."""
+    """For each match of the text (in `_marked`): its kind, the match and its pseudonym (null if it is no valid value)."""
 
     def one(m):
         kind, made = kind_of(m), F.when(F.lit(False), F.lit(None).cast("string"))
@@ -184,17 +222,18 @@ def _found(key: str) -> Column:
             made = made.when(kind == name, f(m, key))
         return F.struct(kind.alias("kind"), m.alias("was"), made.alias("now"))
 
-    return F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), one)
+    return F.transform(F.regexp_extract_all("_marked", F.lit(ANY), F.lit(0)), one)
 
 
 def _text(found: Column) -> Column:
     now = F.transform(found, lambda x: F.coalesce(x["now"], x["was"]))
-    return F.when(F.size(found) > 0, F.array_join(F.zip_with(F.split("text", ANY, -1), now, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
+    return F.when(F.size(found) > 0, F.array_join(F.zip_with(F.split("_marked", ANY, -1), now, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
 
 
 def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, a count for each kind, n_found, and the pseudonymised text."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _found(key).alias("found"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", with_cards_marked(F.col("text")).alias("_marked"))
+    found = marked.withColumn("found", _found(key))
     count = lambda kind: F.coalesce(F.size(F.filter("found", lambda x: (x["kind"] == kind) & x["now"].isNotNull())), F.lit(0)).cast("long")
     counted = found.select("doc_id", *(F.when(F.col("text").isNull(), F.lit(0)).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS), _text(F.col("found")).alias("text"))
     return counted.withColumn("n_found", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)))
@@ -202,4 +241,4 @@ def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """All rows and columns of docs, with the pseudonymised text."""
-    return docs.withColumn("_found", _found(key)).withColumn("text", _text(F.col("_found"))).select(*docs.columns)
+    return docs.withColumn("_marked", with_cards_marked(F.col("text"))).withColumn("_found", _found(key)).withColumn("text", _text(F.col("_found"))).select(*docs.columns)

@@ -478,6 +478,20 @@ def test_pseudonyms(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_cards_next_to_other_digits(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    cases = [(f"{card} 12/27", card), (f"{spaced} 123", spaced), (f"item 7 {card}", card), (f"1 2 3 1 {spaced} 0", spaced), (f"{spaced} {card}", card), (f"{card} 2024-02-29.", card), (f"no  {card}  99", card), (f"\ufdd0{card}\ufdd1 x", card), ("7 " * 3000 + card, card)]
+    kept = ["1234 5678 9012 3456 7", "\ufdd04111111111111112\ufdd1", "1--2 " * 20]
+    got = by_id(pii.pseudonyms(table(spark, [t for t, _ in cases] + kept), "k"))
+    for k, (text, value) in enumerate(cases):
+        made = value[0] + brute_feistel(value[1:-1], "k", "card")
+        made = next(made + c for c in "0123456789" if luhn_ok(made + c))
+        assert value not in got[k].text and made in got[k].text and len(got[k].text) == len(text), text
+    assert [got[k].n_card for k in range(9)] == [1, 1, 1, 1, 2, 1, 1, 1, got[8].n_card]
+    assert got[5].n_date == 1 and "2024-02-29" not in got[5].text and got[7].text[0] == "\ufdd0"
+    assert [got[len(cases) + k].text for k in range(3)] == kept
+
+
 def test_pseudonyms_are_permutations(spark):
     from pyspark.sql import functions as F
 

@@ -183,7 +183,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language could be told (not `und`), whole rows; a null lang becomes the prediction."""
+    """The documents whose language could be told (not `und`), whole rows; a null lang becomes the prediction.
+
+    If nothing could be learned, those with a letter.
+    """
     model = train(docs)
     shared, at, lang = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang")
 
@@ -194,8 +197,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 part = batch.slice(a, ROWS)
                 found = part.column(at).to_pylist()
                 names = [name for name, _ in predicted(model, found)]
+                kept = [name != "und" for name in names] if model.languages else list(map(has_letter, found))
                 kind = part.schema.field(lang).type
                 given = [g if g is not None or name == "und" else name for g, name in zip(part.column(lang).to_pylist(), names)]
-                yield part.set_column(lang, part.schema.field(lang), pa.array(given, kind)).filter(pa.array([name != "und" for name in names], pa.bool_()))
+                yield part.set_column(lang, part.schema.field(lang), pa.array(given, kind)).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -364,6 +364,11 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(untaught).collect()} == {"und"}
 
 
+def test_texts_stay_if_no_language_is_known(spark):
+    docs = table(spark, ["some text", None, "", "12 !", "é"]).selectExpr("doc_id", "text", "cast(null as string) lang")
+    assert {r.doc_id: (r.text, r.lang) for r in langid.keep_identified(docs).collect()} == {0: ("some text", None), 4: ("é", None)}
+
+
 def test_code_lengths_against_the_definition():
     import math
 

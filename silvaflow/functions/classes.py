@@ -64,6 +64,38 @@ def simple_trend(kendall: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), kendall)
 
 
+#: Labels and colours (red, green, blue, opacity) of the eleven trend classes.
+KENDALL = {
+    0: ("No data", (255, 255, 255, 0)),
+    1: ("Strong sig. positive", (0, 0, 204, 255)),
+    2: ("Moderate sig. positive", (51, 51, 255, 255)),
+    3: ("Weak sig. positive", (102, 102, 255, 255)),
+    4: ("Very weak sig. positive", (153, 153, 255, 255)),
+    5: ("Non-sig. positive", (204, 204, 204, 255)),
+    6: ("Non-sig. negative", (153, 153, 153, 255)),
+    7: ("Very weak sig. negative", (255, 153, 153, 255)),
+    8: ("Weak sig. negative", (255, 102, 102, 255)),
+    9: ("Moderate sig. negative", (255, 51, 51, 255)),
+    10: ("Strong sig. negative", (204, 0, 0, 255)),
+}
+#: Labels of age cohorts and of the simplified trends, in their order.
+COHORT_LABELS = {0: "non-forest", 1: "young", 2: "maturing", 3: "mature", 4: "old-growth"}
+TREND_LABELS = {0: "strong_decline", 1: "moderate_decline", 2: "stable", 3: "moderate_increase", 4: "strong_increase"}
+
+
+def kendall_legend(spark):
+    """kendall, label, red, green, blue, alpha: the dimension that goes with a raster of classes."""
+    return spark.createDataFrame([(k, label, *colour) for k, (label, colour) in KENDALL.items()], "kendall int, label string, red int, green int, blue int, alpha int")
+
+
+def cohort_label(cohort: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in COHORT_LABELS.items() for x in kv]), cohort)
+
+
+def trend_label(trend: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in TREND_LABELS.items() for x in kv]), trend)
+
+
 def filled_age(age: Column, alternative: Column) -> Column:
     """Age, or where it is missing or 0 the other source: young as it is, 50 as 100."""
     missing = age.isNull() | (age == 0)

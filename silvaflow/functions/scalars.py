@@ -15,6 +15,12 @@ HEIGHT_CEILING = {
 }
 #: Places (from 0) of the percentiles in a segment's canopy height array.
 HEIGHT_PLACES = {"rh25": 3, "rh50": 8, "rh60": 10, "rh70": 12, "rh75": 13, "rh80": 14, "rh85": 15, "rh90": 16, "rh95": 17}
+#: Labels of land-cover codes, of snow, cloud and night flags.
+LAND_COVER = {
+    0: "No data", 20: "Shrubs", 30: "Herbaceous", 40: "Cultivated/managed", 50: "Urban/built", 60: "Bare/sparse", 70: "Snow/ice", 80: "Permanent\nwater", 90: "Herbaceous\nwetleand", 100: "Moss/lichen",
+    111: "Closed forest\nevergreen needle", 112: "Closed forest\nevergreen_broad", 113: "Closed forest\ndeciduous needle", 114: "Closed forest\ndeciduous broad", 115: "Closed forest\nmixed", 116: "Closed forest\nunknown",
+    121: "Open forest\nevergreen needle", 122: "Open forest evergreen_broad", 123: "Open forest deciduous needle", 124: "Open forest deciduous_broad", 125: "Open forest mixed", 126: "Open forest unknown", 200: "Open sea",
+}
 SNOW = {0: "ice free water", 1: "snow free land", 2: "snow", 3: "ice"}
 CLOUD = {0: "high confidence clear", 1: "medium confidence clear", 2: "low confidence clear", 3: "low confidence cloudy", 4: "medium confidence cloudy", 5: "high confidence cloudy"}
 NIGHT = {0: "day", 1: "night"}
@@ -26,6 +32,36 @@ def labelled(code: Column, labels: Mapping[int, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), code)
 
 
+def leading(df, *columns: str):
+    """lon and lat first, then the given columns."""
+    return df.select("lon", "lat", *[c for c in columns if c not in ("lon", "lat")])
+
+
+def to_https(path: Column, bucket_host: str = "s3.amazonaws.com") -> Column:
+    """s3://bucket/key as the https address of the same object."""
+    return F.regexp_replace(path, "^s3://([^/]+)/(.*)$", f"https://$1.{bucket_host}/$2")
+
+
+def file_stem(path: Column) -> Column:
+    """The last part of a path without its extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+
+
+def version_swapped(name: Column, old: str, new: str) -> Column:
+    """A version token in a file name, as a whole token between separators, replaced by another."""
+    return F.regexp_replace(name, f"(^|[_./]){old}(?=[_./]|$)", f"$1{new}")
+
+
+def scene_day(scene: Column, product: str) -> dict[str, Column]:
+    """year and day of year from a scene's file name: yyyyddd in the fourth dotted token, or yyyymmdd in the fourth underscored one."""
+    name = F.element_at(F.split(scene, "/"), -1)
+    if product == "HLS":
+        token = F.get(F.split(name, r"\."), F.lit(3))
+        return {"year": F.substr(token, F.lit(1), F.lit(4)).try_cast("int"), "doy": F.substr(token, F.lit(5), F.lit(3)).try_cast("int")}
+    day = F.try_to_timestamp(F.get(F.split(name, "_"), F.lit(3)), F.lit("yyyyMMdd"))
+    return {"year": F.year(day), "doy": F.dayofyear(day)}
+
+
 def beam_strength(orientation: Column, track: Column) -> Column:
     """Strong or Weak from the craft's orientation and the track's side; null in transition."""
     right = track.endswith("r")
@@ -132,6 +168,10 @@ def stock_pg(density: Column) -> Column:
     return density * PIXEL_HA * PG
 
 
+def variance(sd: Column) -> Column:
+    return sd * sd
+
+
 def tile_density(stock: Column) -> Column:
     return stock * 1e9 / TILE_HA
 

@@ -65,6 +65,29 @@ def qa_masked(qa: Column, bits: tuple[str, ...] = tuple(QA_BITS), aerosol: bool
     return out | (qa.bitwiseAND(QA_HIGH_AEROSOL) == QA_HIGH_AEROSOL) if aerosol else out
 
 
+#: Bits of the other product's quality band, the bits (low, high) of its two-bit levels, and what a mask takes if nothing else is asked for.
+LC2_BITS = {"fill": 0, "dilated cloud": 1, "cirrus": 2, "cloud": 3, "cloud shadow": 4, "snow": 5, "clear": 6, "water": 7}
+LC2_LEVELS = {"cloud confidence": (8, 9), "cloud shadow confidence": (10, 11), "snow/ice confidence": (12, 13), "cirrus confidence": (14, 15)}
+LC2_DEFAULT = ("cloud", "cloud shadow", "snow", "water")
+#: Fixed values: (low bit, high bit) of a level.
+LEVELS = {"low": (1, 0), "moderate": (0, 1), "high": (1, 1)}
+
+
+def lc2_masked(qa: Column, names: tuple[str, ...] = LC2_DEFAULT) -> Column:
+    """Does any of the conditions hold? A name is that of a bit, or of a level with low, moderate or high behind it."""
+    bit, out = lambda k: F.getbit(qa, F.lit(k)), F.lit(False)
+    for name in names:
+        if name in LC2_BITS:
+            out = out | (bit(LC2_BITS[name]) == 1)
+        else:
+            kind, level = name.rsplit(" ", 1)
+            for place, want in zip(LC2_LEVELS[kind], LEVELS[level]):
+                part = bit(place) == want
+                both = part if place == LC2_LEVELS[kind][0] else both & part
+            out = out | both
+    return out
+
+
 def target(ndvi: Column, bad: Column, red: Column, low: float, high: float) -> Column:
     """The index by which scenes are ranked: null where masked or out of the red range."""
     return F.when(~(bad | (red < low) | (red > high)), ndvi)

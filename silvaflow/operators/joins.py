@@ -98,3 +98,59 @@ def compare_counts(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame
     two = b.groupBy(*keys).agg(F.count("*").alias("n_b"))
     both = one.join(two, list(keys), "full_outer").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_a", "n_b")})
     return both.withColumn("difference", F.col("n_a") - F.col("n_b"))
+
+
+def suffixed(a: DataFrame, b: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_x", "_y"), decimals: int | None = None, how: str = "inner") -> DataFrame:
+    """Join on keys; other columns that both sides have get a suffix. decimals: keys are numbers that meet when they agree so far."""
+    both = (set(a.columns) & set(b.columns)) - set(keys)
+    a, b = (df.select(*[F.col(c).alias(c + s if c in both else c) for c in df.columns]) for df, s in zip((a, b), suffixes))
+    if decimals is None:
+        return a.join(b, list(keys), how)
+    names = [f"_{k}" for k in keys]
+    a, b = (df.withColumns({n: F.round(k, decimals) for n, k in zip(names, keys)}) for df in (a, b))
+    return a.join(b.drop(*keys), names, how).drop(*names)
+
+
+def crossing(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """Pairs of boxes whose insides meet while neither holds the other: touching edges and containment don't count."""
+    pairs = overlapping(a, b, cell)
+    for df, p in ((a, "a"), (b, "b")):
+        pairs = pairs.join(df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "xmin", "xmax", "ymin", "ymax")]), f"{p}_id")
+    c = F.col
+    inside = (c("a_xmin") < c("b_xmax")) & (c("b_xmin") < c("a_xmax")) & (c("a_ymin") < c("b_ymax")) & (c("b_ymin") < c("a_ymax"))
+    holds = lambda p, q: (c(f"{p}_xmin") <= c(f"{q}_xmin")) & (c(f"{p}_xmax") >= c(f"{q}_xmax")) & (c(f"{p}_ymin") <= c(f"{q}_ymin")) & (c(f"{p}_ymax") >= c(f"{q}_ymax"))
+    return pairs.filter(inside & ~holds("a", "b") & ~holds("b", "a")).select("a_id", "b_id")
+
+
+def latest_file(index: DataFrame, tile: str, path: str, time: str) -> DataFrame:
+    """The most recent file of each tile (the first path on ties), by an aggregation; tiles without one have no row."""
+    newest = index.groupBy(tile).agg(F.max(time).alias(time))
+    return index.join(newest, [tile, time]).groupBy(tile).agg(F.min(path).alias(path))
+
+
+def sample_layers(points: DataFrame, layers: dict[str, DataFrame], x: str, y: str, origin: tuple[float, float], size: float, nodata: float | None = None) -> DataFrame:
+    """Points with the bands of several layers under them, each band named <layer>_<band>; one place is worked out for all."""
+    out = points.withColumns(pixel_of(F.col(x), F.col(y), origin, size))
+    for name, layer in layers.items():
+        bands = [c for c in layer.columns if c not in ("row", "col")]
+        clean = layer.select("row", "col", *[(F.when(F.col(b) != nodata, F.col(b)) if nodata is not None else F.col(b)).alias(f"{name}_{b}") for b in bands])
+        out = out.join(clean, ["row", "col"], "left")
+    return out
+
+
+def stacked(layers: dict[str, DataFrame], pixel: Sequence[str], pad: bool = False) -> DataFrame:
+    """Bands of several layers side by side, named <layer>_<band>: pixels that all have, or (pad) all of the first layer's."""
+    out = None
+    for name, layer in layers.items():
+        part = layer.select(*pixel, *[F.col(c).alias(f"{name}_{c}") for c in layer.columns if c not in pixel])
+        out = part if out is None else out.join(part, list(pixel), "left" if pad else "inner")
+    return out
+
+
+def tile_files(indices: dict[str, DataFrame], tile: str, path: str) -> DataFrame:
+    """For tiles that are in every index, their file in each (columns <index>_<path>)."""
+    out = None
+    for name, index in indices.items():
+        part = index.select(tile, F.col(path).alias(f"{name}_{path}"))
+        out = part if out is None else out.join(part, tile)
+    return out

@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.student import two_sided
+from .stats import skill
+
 #: The allometric model of a land-cover class; others take m8.
 MODEL_OF = {111: "m3", 113: "m3", 121: "m3", 123: "m3", 112: "m1", 114: "m1", 122: "m1", 124: "m1"}
 OFFSET = 100.0
@@ -32,6 +35,16 @@ def allometric(df: DataFrame, land_cover: str, heights: Sequence[str], coefficie
     return out.withColumn("density", ratio * F.greatest(linear, F.lit(0.0)) * F.greatest(linear, F.lit(0.0)))
 
 
+def allometric_by_table(df: DataFrame, land_cover: str, heights: Sequence[str], table: DataFrame) -> DataFrame:
+    """The same with coefficients from a table (model, intercept, one column for each height, smearing, variance): a handful of rows."""
+    out = df.withColumn("model", model_name(F.col(land_cover))).join(F.broadcast(table), "model", "left")
+    linear_ = F.col("intercept")
+    for h in heights:
+        linear_ = linear_ + F.col(f"w_{h}") * (F.col(h) + OFFSET)
+    linear_ = F.greatest(linear_, F.lit(0.0))
+    return out.withColumn("density", F.col("smearing") * linear_ * linear_).drop("intercept", "smearing", *[f"w_{h}" for h in heights])
+
+
 def smearing_ratio(fit: Column, root: Column) -> Column:
     """mean(fit squared) / mean(root) squared."""
     return F.avg(fit * fit) / (F.avg(root) * F.avg(root))
@@ -92,18 +105,151 @@ def importances(model, features: Sequence[str], k: int = 4) -> list[tuple[str, f
 
 
 def applied(models: Sequence, pixels: DataFrame, features: Sequence[str], mask: Column | None = None) -> DataFrame:
-    """The prediction of each model for each pixel; masked pixels are 0."""
-    rows, out = assembled(pixels, features), None
+    """The prediction of each model for each pixel; masked pixels are 0.
+
+    Pixels are read once: each model adds a column, and the columns become rows in place.
+    """
+    keep, rows = pixels.columns, assembled(pixels, features)
     for k, m in enumerate(models):
-        value = F.col("prediction") if mask is None else F.when(mask, F.col("prediction")).otherwise(0.0)
-        part = m.transform(rows).select("*", value.alias("value"), F.lit(k).alias("iteration")).drop("features", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows = m.transform(rows).withColumnRenamed("prediction", f"_p{k}")
+    values = F.array(*[F.col(f"_p{k}") if mask is None else F.when(mask, F.col(f"_p{k}")).otherwise(0.0) for k in range(len(models))])
+    return rows.select(*keep, F.posexplode(values).alias("iteration", "value"))
+
+
+def iteration_totals(mapped: DataFrame, by: Sequence[str], factor: float, extents: Mapping[str, Column]) -> DataFrame:
+    """The stock of each iteration by group, for several extents side by side."""
+    return mapped.groupBy(*by, "iteration").agg(*[F.sum(F.when(where, F.col("value") * factor).otherwise(0.0)).alias(f"{n}_total") for n, where in extents.items()])
+
+
+def skill_table(observed: str, predicted: str, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(*skill(F.col(observed), F.col(predicted)))
+
+
+def save(model, accuracy: DataFrame, path: str) -> None:
+    """The fitted model, and beside it a table of its accuracy."""
+    model.write().overwrite().save(f"{path}/model")
+    accuracy.write.mode("overwrite").parquet(f"{path}/accuracy")
+
+
+def load(spark, kind, path: str):
+    """(model, accuracy table) as save() wrote them; kind: the model's class."""
+    return kind.load(f"{path}/model"), spark.read.parquet(f"{path}/accuracy")
+
+
+def nearest(train: DataFrame, rows: DataFrame, ident: str, features: Sequence[str], label: str, k: int = 5) -> DataFrame:
+    """The mean label of the k training rows nearest in robustly scaled features (ties to nine digits of the squared distance go to the smaller label).
+
+    train: a sample that fits a task, as forests take it; rows stay distributed and meet it as a broadcast array.
+    """
+    some = [F.col(f).cast("double").alias(f) for f in features]
+    known = train.select(*some, F.col(label).cast("double").alias(label)).na.drop().toPandas()
+    x, y = known[list(features)].to_numpy(), known[label].to_numpy()
+    low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    scale = np.where(high > low, high - low, 1.0)
+    shared = train.sparkSession.sparkContext.broadcast(((x - mid) / scale, y, mid, scale))
+
+    def run(batches):
+        base, labels, mid, scale = shared.value
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.iloc[a : a + 256]
+                z = (part[list(features)].to_numpy(float) - mid) / scale
+                far = ((z[:, None, :] - base[None, :, :]) ** 2).sum(axis=2).round(9)
+                order = np.lexsort((np.broadcast_to(labels, far.shape), far), axis=1)[:, :k]
+                yield part[[ident]].assign(prediction=labels[order].mean(axis=1))
+
+    return rows.select(ident, *some).mapInPandas(run, f"{ident} {dict(rows.dtypes)[ident]}, prediction double")
+
+
+def randomly_searched(df: DataFrame, features: Sequence[str], label: str, tries: int = 4, depths: tuple[int, int] = (2, 8), trees: tuple[int, int] = (5, 30), k: int = 3, seed: int = 1):
+    """The forest that does best of some random settings, with k folds."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.tuning import CrossValidator
+
+    rf, rng = RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed), np.random.default_rng(seed)
+    grid = [{rf.maxDepth: int(rng.integers(*depths, endpoint=True)), rf.numTrees: int(rng.integers(*trees, endpoint=True))} for _ in range(tries)]
+    return CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=k, seed=seed).fit(assembled(df, features))
+
+
+def neural(df: DataFrame, features: Sequence[str], label: str, hidden: int = 8, rounds: int = 200, rate: float = 0.05, seed: int = 1):
+    """A net of one hidden layer, trained by full gradients that tasks add up; returns a function of a table.
+
+    Features and label are scaled by their mean and deviation, found in one pass.
+    """
+    names = [*features, label]
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in names]).na.drop()
+    m = rows.agg(*[f(c).alias(f"{n}{k}") for k, c in enumerate(names) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    mid, scale = (np.array([m[f"{n}{k}"] for k in range(len(names))], float) for n in "ms")
+    scale = np.where(scale > 0, scale, 1.0)
+    d, rng = len(features), np.random.default_rng(seed)
+    w = np.concatenate([rng.normal(0, d**-0.5, d * hidden), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), [0.0]])
+
+    def forward(w, x):
+        a, b, c = w[: d * hidden].reshape(d, hidden), w[d * hidden : (d + 1) * hidden], w[(d + 1) * hidden : (d + 2) * hidden]
+        h = np.tanh(x @ a + b)
+        return h, h @ c + w[-1], c
+
+    def gradient(w):
+        def run(batches):
+            total, n = np.zeros(len(w)), 0
+            for batch in batches:
+                z = (batch[names].to_numpy(float) - mid) / scale
+                h, out, c = forward(w, z[:, :d])
+                e = out - z[:, d]
+                back = e[:, None] * c * (1 - h * h)
+                total += np.concatenate([(z[:, :d].T @ back).reshape(-1), back.sum(axis=0), h.T @ e, [e.sum()]])
+                n += len(e)
+            import pandas as pd
+
+            yield pd.DataFrame({"place": np.arange(len(w) + 1), "g": np.append(total, n)})
+
+        got = rows.mapInPandas(run, "place int, g double").groupBy("place").agg(F.sum("g").alias("g")).collect()  # the few weights
+        g = np.zeros(len(w) + 1)
+        for r in got:
+            g[r["place"]] = r["g"]
+        return g[:-1] / max(1.0, g[-1])
+
+    rows = rows.persist()
+    speed, size = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, rounds + 1):
+        g = gradient(w)
+        speed, size = 0.9 * speed + 0.1 * g, 0.99 * size + 0.01 * g * g
+        w = w - rate * (speed / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.99**step)) + 1e-8)
+    rows.unpersist()
+
+    def predict(table: DataFrame) -> DataFrame:
+        @F.pandas_udf("double")
+        def value(*columns):
+            import pandas as pd
+
+            x = (np.stack([c.to_numpy(float) for c in columns], axis=1) - mid[:d]) / scale[:d]
+            return pd.Series(forward(w, x)[1] * scale[d] + mid[d])
+
+        return table.withColumn("prediction", value(*[F.col(f).cast("double") for f in features]))
+
+    return predict
 
 
 def correlations(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Pearson's r with the label, its t statistic and n, for each feature, in one pass."""
-    row = df.agg(*[F.corr(f, label).alias(f) for f in features], F.count(label).alias("_n"))
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("r")) for f in features])
-    out = row.select(F.explode(rows).alias("x"), "_n").select("x.feature", "x.r", F.col("_n").alias("n"))
-    return out.withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r") * F.col("r"))))
+    """Pearson's r with the label, n, its t statistic and the two-sided p by Student's t, for each feature, in one pass."""
+
+    @F.pandas_udf("double")
+    def p(t, n):
+        import pandas as pd
+
+        return pd.Series([two_sided(abs(a), b - 2) if a == a and b > 2 else None for a, b in zip(t, n)], dtype="float64")
+
+    both = lambda f: F.count(F.when(F.col(f).isNotNull() & F.col(label).isNotNull(), 1))
+    row = df.agg(*[F.struct(F.lit(f).alias("feature"), F.corr(f, label).alias("r"), both(f).alias("n")).alias(f) for f in features])
+    out = row.select(F.explode(F.array(*features)).alias("x")).select("x.*")  # a row a feature
+    out = out.withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r") * F.col("r"))))
+    return out.withColumn("p", p("t", "n"))
+
+
+def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Pearson's r of each pair of features, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    row = df.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    cells = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{k}").alias("r")) for k, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]
+    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import scene_day
+
 
 def composite(df: DataFrame, pixel: Sequence[str], rank: str, bands: Sequence[str], scene: str, stat: str = "max") -> DataFrame:
     """All bands of the scene whose index is largest (or smallest); the first scene wins ties.
@@ -22,11 +24,29 @@ def composite(df: DataFrame, pixel: Sequence[str], rank: str, bands: Sequence[st
 
 
 def percentile_composite(df: DataFrame, pixel: Sequence[str], rank: str, bands: Sequence[str], scene: str, p: float) -> DataFrame:
-    """All bands of the scene whose index is nearest the p-th percentile; the first scene wins ties."""
+    """All bands of the scene whose index is nearest the p-th percentile; the first scene wins ties.
+
+    One shuffle: a pixel's (index, scene) pairs come together once, a few bytes for each scene, and the chosen
+    scene's bands are among them. A pixel has as many scenes as a season has overpasses.
+    """
     valid = df.filter(F.col(rank).isNotNull())
-    goal = valid.groupBy(*pixel).agg(F.percentile(rank, p).alias("_goal"))
-    key = F.struct(F.abs(F.col(rank) - F.col("_goal")).alias("k"), F.col(scene))
-    return valid.join(goal, list(pixel)).groupBy(*pixel).agg(F.min_by(F.struct(scene, rank, *bands), key).alias("_b")).select(*pixel, "_b.*")
+    seen = valid.groupBy(*pixel).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("k"), F.col(scene).alias("s"), F.struct(*bands).alias("b")))).alias("_s"))
+    at = F.lit(float(p)) * (F.size("_s") - 1)
+    low, high = (F.get(F.col("_s.k"), f(at).cast("int")) for f in (F.floor, F.ceil))
+    goal = low + (high - low) * (at - F.floor(at))
+    best = F.array_min(F.transform("_s", lambda x: F.struct(F.abs(x["k"] - F.col("_goal")).alias("d"), x["s"].alias("s"), x["k"].alias("k"), x["b"].alias("b"))))
+    out = seen.withColumn("_goal", goal).withColumn("_b", best)
+    return out.select(*pixel, F.col("_b.s").alias(scene), F.col("_b.k").alias(rank), "_b.b.*")
+
+
+def enough_scenes(composite_: DataFrame, least: int, bands: Sequence[str], n: str = "n_valid") -> DataFrame:
+    """A composite whose pixels of too few valid scenes are emptied."""
+    return composite_.withColumns({b: F.when(F.col(n) >= least, F.col(b)) for b in bands})
+
+
+def scene_dates(df: DataFrame, scene: str, product: str) -> DataFrame:
+    """year and doy columns from the scenes' file names, so that a composite carries them."""
+    return df.withColumns(scene_day(F.col(scene), product))
 
 
 def backfilled(first: DataFrame, fill: DataFrame, pixel: Sequence[str], bands: Sequence[str]) -> DataFrame:
@@ -99,11 +119,50 @@ def hillshade(slope: Column, aspect: Column, azimuth: float = 315.0, altitude: f
     return 255 * (light + 1) / 2
 
 
+#: How a block of pixels becomes one.
+RESAMPLING = {"average": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "median": F.median, "mode": lambda c: F.mode(c, True), "count": F.count}
+
+
+def resampled(df: DataFrame, value: str, k: int, method: str = "average") -> DataFrame:
+    """Blocks of k x k pixels as one; nearest takes the pixel at the block's middle."""
+    block = {c: F.floor(F.col(c) / k).cast("int") for c in ("row", "col")}
+    if method == "nearest":
+        middle = (F.pmod(F.col("row"), F.lit(k)) == k // 2) & (F.pmod(F.col("col"), F.lit(k)) == k // 2)
+        return df.filter(middle).select(*[c.alias(n) for n, c in block.items()], value)
+    return df.groupBy(*[c.alias(n) for n, c in block.items()]).agg(RESAMPLING[method](F.col(value)).alias(value))
+
+
+def refined(df: DataFrame, k: int) -> DataFrame:
+    """Each pixel as k x k smaller ones with its values: a coarse layer on a fine grid."""
+    step = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    out = df.withColumn("_i", step).withColumn("_j", step)
+    return out.withColumns({"row": F.col("row") * k + F.col("_i"), "col": F.col("col") * k + F.col("_j")}).drop("_i", "_j")
+
+
 def reduced(df: DataFrame, value: str, k: int) -> DataFrame:
     """Blocks of k x k pixels: mean, mode and count."""
     return df.groupBy(F.floor(F.col("row") / k).cast("int").alias("row"), F.floor(F.col("col") / k).cast("int").alias("col")).agg(F.avg(value).alias("mean"), F.mode(F.col(value), True).alias("mode"), F.count(value).alias("n"))
 
 
+def pixel_centre(row: Column, col: Column, origin: tuple[float, float], size: float) -> dict[str, Column]:
+    return {"x": origin[0] + (col + 0.5) * size, "y": origin[1] - (row + 0.5) * size}
+
+
+def metres_a_degree(lat: Column) -> Column:
+    """Of longitude, at a latitude."""
+    return 111_320 * F.cos(F.radians(lat))
+
+
+def steep(slope: Column) -> Column:
+    """1 where there is a slope, else 0."""
+    return F.coalesce((slope > 0).cast("int"), F.lit(0))
+
+
+def zone_stride(area: Column, pixel_area: float, most: int = 1500) -> Column:
+    """Every which row and column of a zone is read, so that its longer side counts at most so many pixels; 1 for small zones."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(area / pixel_area) / most)).cast("int")
+
+
 def pieces(df: DataFrame, rows: int, cols: int, side: int) -> DataFrame:
     """The number of the piece of a raster cut into side x side."""
     h, w = math.ceil(rows / side), math.ceil(cols / side)

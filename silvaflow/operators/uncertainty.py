@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.student import quantile, quantile_of
+
 Z95 = 1.96
 
 
@@ -39,59 +41,138 @@ def draws(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
-def hashed_normal(key: Sequence[Column], stream: int = 0) -> Column:
-    """A standard normal number from a hash of the key: the same whatever the partitions and reruns."""
-    uniform = lambda k: (F.pmod(F.xxhash64(F.lit(stream), F.lit(k), *key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+#: Fixed values of the random numbers: a prime, and the multipliers of the key, the draw and the stream.
+PRIME, BY_KEY, BY_DRAW, BY_STREAM = 2_147_483_647, 48_271, 69_621, 16_807
+
+
+def uniform(key: Sequence[Column], sim: Column, stream: int) -> Column:
+    """A number between 0 and 1 from whole-number keys, a draw's number and a stream.
+
+    Squares and products modulo a prime: the same whatever the partitions and reruns, and in any engine
+    with 64-bit integers.
+    """
+    seed = F.lit(0).cast("long")
+    for k in key:
+        seed = (seed * 31 + F.pmod(k.cast("long"), F.lit(PRIME))) % PRIME
+    draw = sim.cast("long")
+    x = (seed * BY_KEY + draw * BY_DRAW + stream * BY_STREAM + 1) % PRIME
+    x = (x * x + seed) % PRIME
+    x = (x * BY_KEY + draw) % PRIME
+    x = (x * x + stream) % PRIME
+    return (x + 0.5) / float(PRIME)
+
+
+def hashed_normal(key: Sequence[Column], sim: Column, stream: int = 0) -> Column:
+    """A standard normal number for each key and draw (Box and Muller)."""
+    return F.sqrt(-2 * F.log(uniform(key, sim, 2 * stream + 1))) * F.cos(2 * math.pi * uniform(key, sim, 2 * stream + 2))
 
 
 def simulated_totals(df: DataFrame, by: Sequence[str], key: Sequence[str], mean: str, sd: str, factor: float, n: int = 1000, truncate: bool = True) -> DataFrame:
-    """Totals of n draws by group: mean, population sd, percentile bounds, quartile range, cv.
+    """Totals of n draws by group: mean, population sd, percentile bounds, quartile range, cv, uncertainty (%).
 
-    Draws are summed by group and draw before the shuffle, so n rows a group leave each task.
+    key: whole numbers that tell pixels apart. Draws are summed by group and draw before the shuffle, so n rows
+    a group leave each task.
     """
-    value = F.col(mean) + F.col(sd) * hashed_normal([F.col(k) for k in key] + [F.col("sim")])
+    value = F.col(mean) + F.col(sd) * hashed_normal([F.col(k) for k in key], F.col("sim"))
     value = F.greatest(value, F.lit(0.0)) if truncate else value
-    sums = draws(df, n).groupBy(*by, "sim").agg(F.sum(value * factor).alias("t"))
-    q = F.percentile("t", F.array(*[F.lit(x) for x in (0.025, 0.25, 0.5, 0.75, 0.975)]))
+    sums = draws(df.select(*dict.fromkeys([*by, *key, mean, sd])), n).groupBy(*by, "sim").agg(F.sum(value * factor).alias("t"))
+    q = F.percentile("t", F.array(*[F.lit(x) for x in (0.025, 0.25, 0.5, 0.75, 0.975)]))  # of n totals
     out = sums.groupBy(*by).agg(F.avg("t").alias("mean"), F.stddev_pop("t").alias("sd"), q.alias("q"), F.count("*").alias("n_draws"))
-    return out.select(*by, "mean", "sd", F.col("q")[2].alias("median"), F.col("q")[0].alias("low"), F.col("q")[4].alias("high"), (F.col("q")[3] - F.col("q")[1]).alias("iqr"), F.try_divide("sd", "mean").alias("cv"), "n_draws")
+    half = (F.col("q")[4] - F.col("q")[0]) / 2
+    return out.select(*by, "mean", "sd", F.col("q")[2].alias("median"), F.col("q")[0].alias("low"), F.col("q")[4].alias("high"), (F.col("q")[3] - F.col("q")[1]).alias("iqr"), F.try_divide("sd", "mean").alias("cv"), F.try_divide(100 * half, F.col("mean")).alias("uncertainty"), "n_draws")
+
+
+def class_totals(df: DataFrame, by: Sequence[str], key: Sequence[str], mean: str, sd: str, pixel_ha: float = 0.09, n: int = 50) -> DataFrame:
+    """Carbon (half the biomass) in Pg of each class by n draws a pixel, with t-based bounds of the mean and of a new total."""
+    value = 0.5 * (F.col(mean) + F.col(sd) * hashed_normal([F.col(k) for k in key], F.col("sim")))
+    sums = draws(df.select(*dict.fromkeys([*by, *key, mean, sd])), n).groupBy(*by, "sim").agg(F.sum(value * pixel_ha * 1e-9).alias("t"))
+    out = sums.groupBy(*by).agg(F.avg("t").alias("mean"), F.stddev_samp("t").alias("sd"))
+    t, m, s = quantile(n - 1), F.col("mean"), F.col("sd")
+    return out.withColumns({"ci_low": m - t * s / math.sqrt(n), "ci_high": m + t * s / math.sqrt(n), "pi_low": m - t * s, "pi_high": m + t * s})
+
+
+def class_sums(totals: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Class totals summed over fewer classes, or over all: bounds become sums of bounds."""
+    return totals.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def two_band(df: DataFrame, key: Sequence[str], mean: str, sd: str, n: int = 50) -> DataFrame:
+    """Each pixel's mean and deviation over n draws, with t-based bounds of the mean and of an observation. Draws stay within the row."""
+    sims = F.sequence(F.lit(1), F.lit(n))
+    out = df.withColumn("_d", F.transform(sims, lambda k: F.col(mean) + F.col(sd) * hashed_normal([F.col(c) for c in key], k)))
+    m = _total(F.col("_d")) / n
+    out = out.withColumn("sim_mean", m).withColumn("sim_sd", F.sqrt(_squares(F.col("_d"), F.col("sim_mean")) / n)).drop("_d")
+    t, sem = quantile(n - 1), F.col("sim_sd") / math.sqrt(n)
+    wide = F.sqrt(F.col(sd) * F.col(sd) + sem * sem)
+    return out.withColumns({"ci_low": F.col("sim_mean") - t * sem, "ci_high": F.col("sim_mean") + t * sem, "pi_low": F.col("sim_mean") - t * wide, "pi_high": F.col("sim_mean") + t * wide})
+
+
+def two_band_total(df: DataFrame, key: Sequence[str], mean: str, sd: str, pixel_ha: float = 0.09, n: int = 50) -> DataFrame:
+    """The table's total (Pg) over n draws, with t-based bounds; a new total's spread is the pixels' own and the mean's error."""
+    factor = pixel_ha * 1e-9
+    value = (F.col(mean) + F.col(sd) * hashed_normal([F.col(k) for k in key], F.col("sim"))) * factor
+    spread = F.col(sd) * factor
+    own = df.agg(F.sum(spread * spread).alias("_own"))
+    sums = draws(df.select(*dict.fromkeys([*key, mean, sd])), n).groupBy("sim").agg(F.sum(value).alias("t"))
+    out = sums.agg(F.avg("t").alias("mean"), F.stddev_samp("t").alias("sd")).crossJoin(F.broadcast(own))  # one row each
+    t, m, sem = quantile(n - 1), F.col("mean"), F.col("sd") / math.sqrt(n)
+    wide = F.sqrt(F.col("_own") + sem * sem)
+    return out.withColumns({"ci_low": m - t * sem, "ci_high": m + t * sem, "pi_low": m - t * wide, "pi_high": m + t * wide}).drop("_own")
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def _squares(x: Column, mean: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
 
 
 def carbon_accumulation(df: DataFrame, key: Sequence[str], n: int = 5, skip_young: bool = False) -> DataFrame:
     """Carbon (half the biomass) and its yearly accumulation of each pixel by n draws of biomass and age.
 
-    Columns biomass_mean, biomass_std, age_mean, age_std. Draws with an age of 0 or less accumulate 0,
-    or are left out. The draws live in arrays within a row, so pixels don't shuffle. Prediction bounds
-    use the root of sd squared plus the mean's error squared.
+    Columns biomass_mean, biomass_std, age_mean, age_std; key: whole numbers. Draws with an age of 0 or less
+    accumulate 0, or are left out. The draws live in arrays within a row, so pixels don't shuffle. Bounds use
+    Student's t of the draws less one; prediction bounds the root of sd squared plus the mean's error squared.
     """
     sims = F.sequence(F.lit(1), F.lit(n))
-    at = lambda stream, s: hashed_normal([*[F.col(k) for k in key], s], stream)
+    at = lambda stream, s: hashed_normal([F.col(k) for k in key], s, stream)
     carbon = F.transform(sims, lambda s: 0.5 * (F.col("biomass_mean") + F.col("biomass_std") * at(1, s)))
     age = F.transform(sims, lambda s: F.col("age_mean") + F.col("age_std") * at(2, s))
     rate = F.zip_with(carbon, age, lambda c, a: F.when(a > 0, c / a).otherwise(F.lit(None).cast("double") if skip_young else F.lit(0.0)))
     out = df.withColumns({"_c": carbon, "_r": F.filter(rate, lambda x: x.isNotNull())})
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    squares = lambda draw, mean: total(F.transform(draw, lambda v: (v - mean) * (v - mean)))
     for name, draw in (("carbon", "_c"), ("accumulation", "_r")):
-        mean = F.col(f"{name}_mean")
-        out = out.withColumn(f"{name}_mean", F.try_divide(total(F.col(draw)), F.size(draw)))
-        out = out.withColumn(f"{name}_sd", F.sqrt(F.try_divide(squares(draw, mean), F.size(draw) - 1)))
-        sem = F.col(f"{name}_sd") / F.sqrt(F.size(draw))
-        wide = F.sqrt(F.col(f"{name}_sd") * F.col(f"{name}_sd") + sem * sem)
-        out = out.withColumns({f"{name}_low": F.col(f"{name}_mean") - Z95 * sem, f"{name}_high": F.col(f"{name}_mean") + Z95 * sem, f"{name}_pi_low": F.col(f"{name}_mean") - Z95 * wide, f"{name}_pi_high": F.col(f"{name}_mean") + Z95 * wide})
+        mean, sd, size = F.col(f"{name}_mean"), F.col(f"{name}_sd"), F.size(draw)
+        out = out.withColumn(f"{name}_mean", F.try_divide(_total(F.col(draw)), size))
+        out = out.withColumn(f"{name}_sd", F.sqrt(F.try_divide(_squares(F.col(draw), mean), size - 1)))
+        t = F.lit(quantile(n - 1)) if not skip_young else quantile_of(size - 1)
+        sem = sd / F.sqrt(size)
+        wide = F.sqrt(sd * sd + sem * sem)
+        out = out.withColumns({f"{name}_low": mean - t * sem, f"{name}_high": mean + t * sem, f"{name}_pi_low": mean - t * wide, f"{name}_pi_high": mean + t * wide})
     return out.drop("_c", "_r")
 
 
+def place_of(sorted_: Column, q: float) -> Column:
+    """The interpolated quantile of a sorted array."""
+    at = F.lit(q) * (F.size(sorted_) - 1)
+    low, high = F.get(sorted_, F.floor(at).cast("int")), F.get(sorted_, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def simulated_change(df: DataFrame, key: Sequence[str], n: int = 10_000) -> DataFrame:
-    """Change between two dates (mean1, sd1, mean2, sd2) by n truncated draws a row; no standard deviation counts as 0."""
+    """Change between two dates (mean1, sd1, mean2, sd2) by n draws a row, none below 0; no standard deviation counts as 0.
+
+    The draws are sorted within their row: nothing is exploded or shuffled. key: whole numbers.
+    """
     sims = F.sequence(F.lit(1), F.lit(n))
-    one = lambda m, s, stream, k: F.greatest(F.col(m) + F.coalesce(s, F.lit(0.0)) * hashed_normal([*[F.col(c) for c in key], k], stream), F.lit(0.0))
-    change = F.transform(sims, lambda k: one("mean2", "sd2", 2, k) - one("mean1", "sd1", 1, k))
-    rows = df.withColumn("_d", F.explode(change))
-    q = F.percentile("_d", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    out = rows.groupBy(*key).agg(F.avg("_d").alias("change"), F.stddev_samp("_d").alias("change_sd"), q.alias("q"), F.avg((F.col("_d") > 0).cast("int")).alias("p_increase"), F.avg((F.col("_d") < 0).cast("int")).alias("p_decrease"))
-    return out.select(*key, "change", "change_sd", F.col("q")[1].alias("median"), F.col("q")[0].alias("low"), F.col("q")[2].alias("high"), "p_increase", "p_decrease", ((F.col("q")[0] > 0) | (F.col("q")[2] < 0)).alias("significant"))
+    one = lambda m, s, stream, k: F.greatest(F.col(m) + F.coalesce(s, F.lit(0.0)) * hashed_normal([F.col(c) for c in key], k, stream), F.lit(0.0))
+    out = df.withColumn("_d", F.array_sort(F.transform(sims, lambda k: one("mean2", "sd2", 2, k) - one("mean1", "sd1", 1, k))))
+    d = F.col("_d")
+    out = out.withColumn("change", _total(d) / n).withColumn("change_sd", F.sqrt(_squares(d, F.col("change")) / (n - 1)))
+    low, high = place_of(d, 0.025), place_of(d, 0.975)
+    share = lambda f: F.size(F.filter(d, f)) / n
+    out = out.withColumns({"median": place_of(d, 0.5), "low": low, "high": high, "p_increase": share(lambda x: x > 0), "p_decrease": share(lambda x: x < 0), "percent": F.try_divide(100 * F.col("change"), F.col("mean1"))})
+    return out.select(*key, "change", "change_sd", "median", "low", "high", "percent", "p_increase", "p_decrease", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
 
 
 def zero_filled(df: DataFrame, dims: Sequence[tuple[str, Sequence]], values: Sequence[str]) -> DataFrame:

@@ -88,7 +88,7 @@ def carbon_classes(pixels: DataFrame) -> DataFrame:
 CUBE = "cube AS (SELECT CAST(l_suppkey AS BIGINT) AS tile_num, CAST(l_partkey % 5 AS INTEGER) AS row, CAST(l_partkey % 3 AS INTEGER) AS col, CAST(year(l_shipdate) AS INTEGER) AS year, round(avg(l_quantity), 6) * CAST(0.7310585 AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3, 4)"
 
 
-def _cube(spark, sf_dir):
+def cube(spark, sf_dir):
     c = F.col
     by = [c("l_suppkey").alias("tile_num"), (c("l_partkey") % 5).cast("int").alias("row"), (c("l_partkey") % 3).cast("int").alias("col"), F.year("l_shipdate").alias("year")]
     return table(spark, sf_dir, "lineitem").groupBy(*by).agg((F.round(F.avg("l_quantity"), 6) * 0.7310585).alias("value")).withColumn("doy", F.lit(200))
@@ -96,15 +96,10 @@ def _cube(spark, sf_dir):
 
 @query(f"""WITH {CUBE}, s AS (SELECT tile_num, row, col, count(*) AS n, regr_slope(v, year + 200 / 365.25) AS slope FROM cube GROUP BY 1, 2, 3) SELECT tile_num, row, col, CASE WHEN n >= 3 THEN n ELSE 0 END AS n_obs, round(CASE WHEN n >= 3 THEN slope END, 4) AS slope FROM s""")
 def trend_cube(spark, sf_dir):
-    at = _cube(spark, sf_dir).withColumn("t", decimal_year(F.col("year"), F.col("doy")))
+    at = cube(spark, sf_dir).withColumn("t", decimal_year(F.col("year"), F.col("doy")))
     return rounded(trend.ols(at, ["tile_num", "row", "col"], "t", "value").select("tile_num", "row", "col", "n_obs", "slope"), 4)
 
 
-@query()
-def trend_classes_flow(spark, sf_dir):
-    return rounded(trend_classes(_cube(spark, sf_dir)))
-
-
 @query(f"""WITH {SEG}, k AS (SELECT tile_num % 10 AS zone, CAST(CASE WHEN age = 0 THEN 0 WHEN age BETWEEN 1 AND 20 THEN 1 WHEN age BETWEEN 21 AND 80 THEN 2 WHEN age BETWEEN 81 AND 200 THEN 3 ELSE -1 END AS INTEGER) AS cohort, CAST(CASE kendall WHEN 0 THEN -1 WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 2 WHEN 6 THEN 2 WHEN 7 THEN 1 WHEN 8 THEN 1 ELSE 0 END AS INTEGER) AS trend, agb AS am, agb_sd AS asd, agb * 1.1 AS bm, agb_sd * 2 AS bsd FROM seg),
 t AS (SELECT zone, cohort, trend, sum(am) AS a, sqrt(sum(asd * asd)) AS sa, sum(bm) AS b, sqrt(sum(bsd * bsd)) AS sb FROM k GROUP BY 1, 2, 3) SELECT zone, cohort, trend, round(100 * (b - a) / a, 6) AS percent, round((b - a) / sqrt(sa * sa + sb * sb), 6) AS z FROM t""")
 def zonal_change_flow(spark, sf_dir):

@@ -55,14 +55,14 @@ def empty_fallback(spark, sf_dir):
     return out.select("granule", "line", "part", "tile_num", "h_can")
 
 
-@query(f"WITH {PTS} SELECT point_id, x, y FROM pts WHERE x > -0.5 AND x < 0.5 AND y > -0.5 AND y < 0.5")
+@query(f"WITH {PTS} SELECT point_id, x, y FROM pts WHERE x > -0.1 AND x < 0.15 AND y > -0.12 AND y < 0.1")
 def bbox_exclusive(spark, sf_dir):
-    return points(spark, sf_dir).filter(Q.in_box(F.col("x"), F.col("y"), (-0.5, 0.5, -0.5, 0.5))).select("point_id", "x", "y")
+    return points(spark, sf_dir).filter(Q.in_box(F.col("x"), F.col("y"), (-0.1, 0.15, -0.12, 0.1))).select("point_id", "x", "y")
 
 
-@query(f"WITH {PTS} SELECT point_id, x, y FROM pts WHERE x BETWEEN -0.5 AND 0.5 AND y BETWEEN -0.5 AND 0.5")
+@query(f"WITH {PTS} SELECT point_id, x, y FROM pts WHERE x BETWEEN -0.1 AND 0.15 AND y BETWEEN -0.12 AND 0.1")
 def bbox_inclusive(spark, sf_dir):
-    return points(spark, sf_dir).filter(Q.in_box(F.col("x"), F.col("y"), (-0.5, 0.5, -0.5, 0.5), inclusive=True)).select("point_id", "x", "y")
+    return points(spark, sf_dir).filter(Q.in_box(F.col("x"), F.col("y"), (-0.1, 0.15, -0.12, 0.1), inclusive=True)).select("point_id", "x", "y")
 
 
 @query(f"WITH {SEG} SELECT {BEAM} AS beam, CASE WHEN line BETWEEN 1 AND 6 THEN CASE WHEN line % 2 = 1 THEN 'strong' ELSE 'weak' END END AS spot_beam, count(*) AS n FROM seg GROUP BY 1, 2")
@@ -112,10 +112,11 @@ def json_catalog(spark, sf_dir):
     return e.groupBy("event_type", F.col("p.k").alias("k")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query(f"""WITH {SEG}, g AS (SELECT land_cover, avg(h_can) + 3 * stddev_samp(h_can) AS top FROM seg GROUP BY 1)
+@query(f"""WITH {SEG}, g AS (SELECT land_cover, avg(h_can) + 1.2 * stddev_samp(h_can) AS top FROM seg GROUP BY 1)
 SELECT granule, line, part, land_cover, h_can FROM seg JOIN g USING (land_cover) WHERE h_can <= top""")
 def outlier_3sd(spark, sf_dir):
-    return Q.within_deviations(segments(spark, sf_dir), "h_can", ["land_cover"]).select("granule", "line", "part", "land_cover", "h_can")
+    """The cut at 1.2 deviations, as no value of these tables lies beyond three."""
+    return Q.within_deviations(segments(spark, sf_dir), "h_can", ["land_cover"], 1.2).select("granule", "line", "part", "land_cover", "h_can")
 
 
 @query(f"""WITH {SEG}, n AS (SELECT count(*) FILTER (doy BETWEEN 180 AND 181 AND slope <= 3) AS a, count(*) FILTER (doy BETWEEN 150 AND 240 AND slope <= 10) AS b FROM seg),

@@ -28,7 +28,7 @@ def load() -> None:
         import_module(f"silvaflow.plans.{name}")
 
 
-MODULES: tuple[str, ...] = ("quality", "relational", "statistics", "flows")
+MODULES: tuple[str, ...] = ("quality", "relational", "statistics", "flows", "files", "expressions", "cascades", "spatial", "summaries", "simulation", "modelling")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

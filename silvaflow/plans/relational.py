@@ -68,12 +68,12 @@ def neighbors(spark, sf_dir):
     return J.neighbours(n, "id", "x", "y")
 
 
-@query(f"""WITH {PTS}, px AS (SELECT CAST(floor((x + 8) / 0.5) AS INTEGER) AS col, CAST(floor((8 - y) / 0.5) AS INTEGER) AS row, nullif(avg(CAST(label AS DOUBLE)), 3.0) AS band FROM pts WHERE point_id % 2 = 0 GROUP BY 1, 2)
-SELECT point_id, p.row, p.col, round(band, 8) AS band FROM (SELECT point_id, CAST(floor((x + 8) / 0.5) AS INTEGER) AS col, CAST(floor((8 - y) / 0.5) AS INTEGER) AS row FROM pts WHERE point_id % 2 = 1) p LEFT JOIN px ON px.row = p.row AND px.col = p.col""")
+@query(f"""WITH {PTS}, px AS (SELECT CAST(floor((x + 8) / 0.5) AS INTEGER) AS col, CAST(floor((8 - y) / 0.5) AS INTEGER) AS row, nullif(avg(CAST(label AS DOUBLE)), 3.0) AS band FROM pts GROUP BY 1, 2)
+SELECT point_id, p.row, p.col, round(band, 8) AS band FROM (SELECT point_id, CAST(floor((x + 8) / 0.5) AS INTEGER) AS col, CAST(floor((8 - y) / 0.5) AS INTEGER) AS row FROM pts) p LEFT JOIN px ON px.row = p.row AND px.col = p.col""")
 def point_in_cell(spark, sf_dir):
     p = points(spark, sf_dir)
-    px = p.filter("point_id % 2 = 0").withColumns(J.pixel_of(F.col("x"), F.col("y"), (-8, 8), 0.5)).groupBy("row", "col").agg(F.avg(F.col("label").cast("double")).alias("band"))
-    out = J.sample_pixels(p.filter("point_id % 2 = 1"), px, "x", "y", (-8, 8), 0.5, nodata=3.0)
+    px = p.withColumns(J.pixel_of(F.col("x"), F.col("y"), (-8, 8), 0.5)).groupBy("row", "col").agg(F.avg(F.col("label").cast("double")).alias("band"))
+    out = J.sample_pixels(p, px, "x", "y", (-8, 8), 0.5, nodata=3.0)
     return out.select("point_id", "row", "col", F.round("band", 8).alias("band"))
 
 
@@ -89,14 +89,14 @@ def polygon_points(spark, sf_dir):
     return J.within_polygons(points(spark, sf_dir), polygons, "x", "y", 0.25).select("point_id", "polygon_id")
 
 
-@query(f"""WITH {PTS}, a AS (SELECT point_id AS id, x - 0.02 AS x0, x + 0.02 AS x1, y - 0.02 AS y0, y + 0.02 AS y1 FROM pts WHERE point_id % 2 = 0), b AS (SELECT point_id AS id, x - 0.03 AS x0, x + 0.03 AS x1, y - 0.03 AS y0, y + 0.03 AS y1 FROM pts WHERE point_id % 2 = 1)
-SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
+@query(f"""WITH {PTS}, a AS (SELECT point_id AS id, x - 0.02 AS x0, x + 0.02 AS x1, y - 0.02 AS y0, y + 0.02 AS y1 FROM pts), b AS (SELECT point_id AS id, x - 0.03 AS x0, x + 0.03 AS x1, y - 0.03 AS y0, y + 0.03 AS y1 FROM pts)
+SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.id <> b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1""")
 def grid_spatial_join(spark, sf_dir):
-    def boxes(odd, r):
+    def boxes(r):
         x, y = F.col("x"), F.col("y")
-        return points(spark, sf_dir).filter(F.col("point_id") % 2 == odd).select(F.col("point_id").alias("id"), (x - r).alias("xmin"), (x + r).alias("xmax"), (y - r).alias("ymin"), (y + r).alias("ymax"))
+        return points(spark, sf_dir).select(F.col("point_id").alias("id"), (x - r).alias("xmin"), (x + r).alias("xmax"), (y - r).alias("ymin"), (y + r).alias("ymax"))
 
-    return J.overlapping(boxes(0, 0.02), boxes(1, 0.03), 0.1)
+    return J.overlapping(boxes(0.02), boxes(0.03), 0.1).filter("a_id <> b_id")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
@@ -179,17 +179,6 @@ def reduce_resolution(spark, sf_dir):
     return rounded(R.reduced(cells(spark, sf_dir), "top", 4))
 
 
-@query("""WITH g AS (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, CAST((r * r * 7 + c * 13 + r * c) % 101 AS DOUBLE) AS z FROM generate_series(0, 29) a(r), generate_series(0, 29) b(c)),
-h AS (SELECT g.row, g.col, g.z, max(CASE WHEN n.row = g.row - 1 AND n.col = g.col - 1 THEN n.z END) AS a, max(CASE WHEN n.row = g.row - 1 AND n.col = g.col THEN n.z END) AS b, max(CASE WHEN n.row = g.row - 1 AND n.col = g.col + 1 THEN n.z END) AS c, max(CASE WHEN n.row = g.row AND n.col = g.col - 1 THEN n.z END) AS d, max(CASE WHEN n.row = g.row AND n.col = g.col + 1 THEN n.z END) AS f, max(CASE WHEN n.row = g.row + 1 AND n.col = g.col - 1 THEN n.z END) AS g_, max(CASE WHEN n.row = g.row + 1 AND n.col = g.col THEN n.z END) AS h_, max(CASE WHEN n.row = g.row + 1 AND n.col = g.col + 1 THEN n.z END) AS i FROM g JOIN g n ON abs(n.row - g.row) <= 1 AND abs(n.col - g.col) <= 1 GROUP BY 1, 2, 3),
-s AS (SELECT row, col, ((c + 2 * f + i) - (a + 2 * d + g_)) / 240 AS dx, ((g_ + 2 * h_ + i) - (a + 2 * b + c)) / 240 AS dy FROM h)
-SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) AS slope FROM s""")
-def topo_slope(spark, sf_dir):
-    """Slope of a generated surface."""
-    g = spark.range(900).select((F.col("id") / 30).cast("int").alias("row"), (F.col("id") % 30).cast("int").alias("col"))
-    r, c = F.col("row"), F.col("col")
-    return rounded(R.terrain(g.withColumn("z", ((r * r * 7 + c * 13 + r * c) % 101).cast("double")), "z", 30.0).select("row", "col", "slope"))
-
-
 @query("""WITH b(id, xmin, ymin, xmax, ymax) AS (SELECT n_nationkey, CAST(n_nationkey AS DOUBLE), CAST(0 AS DOUBLE), n_nationkey + 2.5, CAST(3 AS DOUBLE) FROM nation)
 SELECT id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(xmin + i * 1.0, 6) AS x0, round(ymin + j * 2.0, 6) AS y0, round(least(xmin + i * 1.0 + 1.0, xmax), 6) AS x1, round(least(ymin + j * 2.0 + 2.0, ymax), 6) AS y1 FROM b, generate_series(0, 2) a(i), generate_series(0, 1) c(j)""")
 def fishnet(spark, sf_dir):

@@ -85,3 +85,32 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def rounding(columns: str, digits: int = 6) -> str:
     """SQL of the same for names separated by white space."""
     return ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in columns.split())
+
+
+def chance(key: str, seed: int = 0) -> str:
+    """SQL of the text by which operators.windows.hash_order() orders rows; key: SQL of its parts, separated by commas."""
+    return f"md5(concat_ws(':', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in key.split(', '))}))"
+
+
+def number_of(text: str, digits: int = 13) -> str:
+    """SQL of the number that the first hexadecimal digits of a text write."""
+    return f"CAST(('0x' || substr({text}, 1, {digits})) AS BIGINT)"
+
+
+def normal_steps(source: str, keys: str, stream: int = 0, name: str = "z") -> str:
+    """SQL steps (named <name>0 to <name>4) that add a column <name> to the rows of `source`, which have a column sim: operators.uncertainty.hashed_normal()."""
+    from ..operators.uncertainty import BY_DRAW, BY_KEY, BY_STREAM, PRIME
+
+    seed = "CAST(0 AS BIGINT)"
+    for k in keys.split(", "):
+        seed = f"({seed} * 31 + CAST({k} AS BIGINT) % {PRIME}) % {PRIME}"
+    a, b = 2 * stream + 1, 2 * stream + 2
+    one = lambda s: f"({name}_s * {BY_KEY} + CAST(sim AS BIGINT) * {BY_DRAW} + {s * BY_STREAM} + 1) % {PRIME}"
+    steps = [
+        f"{name}0 AS (SELECT *, {seed} AS {name}_s FROM {source})",
+        f"{name}1 AS (SELECT *, {one(a)} AS {name}_a, {one(b)} AS {name}_b FROM {name}0)",
+        f"{name}2 AS (SELECT * REPLACE (({name}_a * {name}_a + {name}_s) % {PRIME} AS {name}_a, ({name}_b * {name}_b + {name}_s) % {PRIME} AS {name}_b) FROM {name}1)",
+        f"{name}3 AS (SELECT * REPLACE (({name}_a * {BY_KEY} + CAST(sim AS BIGINT)) % {PRIME} AS {name}_a, ({name}_b * {BY_KEY} + CAST(sim AS BIGINT)) % {PRIME} AS {name}_b) FROM {name}2)",
+        f"{name}4 AS (SELECT * EXCLUDE ({name}_a, {name}_b, {name}_s), sqrt(-2 * ln((({name}_a * {name}_a + {a}) % {PRIME} + 0.5) / CAST({PRIME} AS DOUBLE))) * cos(2 * pi() * (({name}_b * {name}_b + {b}) % {PRIME} + 0.5) / CAST({PRIME} AS DOUBLE)) AS {name} FROM {name}3)",
+    ]
+    return ", ".join(steps)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classes as C
 from ..functions import spectral as P
-from ..functions.scalars import decimal_year, decibel
+from ..functions.scalars import decibel, decimal_year
+from ..functions.student import normal_quantile
 from ..operators import model as M
 from ..operators import quality as Q
 from ..operators import raster as R
@@ -135,9 +136,16 @@ def ols_trend(spark, sf_dir):
     return rounded(trend.ols(series(spark, sf_dir), ["pixel"], "t", "v"))
 
 
-@query(f"""WITH {SER}, p AS (SELECT a.pixel, median((b.v - a.v) / (b.t - a.t)) AS slope FROM ser a JOIN ser b ON a.pixel = b.pixel AND a.t < b.t GROUP BY 1), m AS (SELECT pixel, count(*) AS n, median(t) AS t, median(v) AS v FROM ser GROUP BY 1)
-SELECT pixel, CASE WHEN n >= 3 AND slope IS NOT NULL THEN n ELSE 0 END AS n_obs, round(CASE WHEN n >= 3 THEN slope END, 6) AS slope, round(CASE WHEN n >= 3 THEN m.v - slope * m.t END, 6) AS intercept FROM m LEFT JOIN p USING (pixel)""")
+_PAIRS = f"{SER}, p AS (SELECT a.pixel, (b.v - a.v) / (b.t - a.t) AS s FROM ser a JOIN ser b ON a.pixel = b.pixel AND a.t < b.t), m AS (SELECT pixel, count(*) AS n, median(t) AS t, median(v) AS v FROM ser GROUP BY 1)"
+_TIES = ", ".join(f"k{c} AS (SELECT pixel, sum(k * (k - 1) * (2 * k + 5)) AS k{c} FROM (SELECT pixel, {c}, count(*) AS k FROM ser GROUP BY 1, 2) GROUP BY 1)" for c in "tv")
+
+
+@query(f"""WITH {_PAIRS}, {_TIES}, w AS (SELECT pixel, n, t, v, total, slopes, sqrt((n * (n - 1) * (2 * n + 5) - kt - kv) / 18.0) AS spread FROM m JOIN kt USING (pixel) JOIN kv USING (pixel) LEFT JOIN (SELECT pixel, count(*) AS total, list(s ORDER BY s) AS slopes FROM p GROUP BY 1) USING (pixel)),
+x AS (SELECT *, list_median(slopes) AS slope, slopes[CAST(greatest(round_even((total + {normal_quantile()} * -1 * spread) / 2, 0) - 1, 0) AS BIGINT) + 1] AS low, slopes[CAST(least(round_even((total + {normal_quantile()} * spread) / 2, 0), total - 1) AS BIGINT) + 1] AS high FROM w),
+r AS (SELECT ser.pixel, corr(x.slope * ser.t, ser.v) AS c FROM ser JOIN x USING (pixel) WHERE x.slope <> 0 GROUP BY 1)
+SELECT pixel, CASE WHEN n >= 3 AND slope IS NOT NULL THEN n ELSE 0 END AS n_obs, round(CASE WHEN n >= 3 THEN slope END, 6) AS slope, round(CASE WHEN n >= 3 THEN x.v - slope * x.t END, 6) AS intercept, round(CASE WHEN n >= 3 THEN low END, 6) AS slope_low, round(CASE WHEN n >= 3 THEN high END, 6) AS slope_high, round(CASE WHEN n >= 3 THEN c * c END, 6) AS r2 FROM x LEFT JOIN r USING (pixel)""")
 def theil_sen(spark, sf_dir):
+    """Median slopes, their bounds and how well the line fits."""
     return rounded(trend.theil_sen(series(spark, sf_dir), ["pixel"], "t", "v"))
 
 
@@ -150,11 +158,6 @@ def kendall_tau(spark, sf_dir):
     return rounded(trend.kendall(series(spark, sf_dir), ["pixel"], "t", "v").withColumn("n_obs", F.col("n_obs").cast("long")))
 
 
-@query()
-def kendall_p_values(spark, sf_dir):
-    return rounded(trend.with_kendall_p(series(spark, sf_dir), ["pixel"], "t", "v"))
-
-
 @query(f"""WITH {TAU}, c AS (SELECT pixel, CAST(CASE WHEN tau IS NULL THEN 0 WHEN pixel % 3 = 0 THEN 5 WHEN tau * 5 >= 0.7 THEN 1 WHEN tau * 5 >= 0.4 THEN 2 WHEN tau * 5 >= 0.2 THEN 3 WHEN tau > 0 THEN 4 WHEN tau * 5 <= -0.7 THEN 10 WHEN tau * 5 <= -0.4 THEN 9 WHEN tau * 5 <= -0.2 THEN 8 WHEN tau < 0 THEN 7 ELSE 5 END AS INTEGER) AS kendall FROM tau)
 SELECT kendall, count(*) AS n FROM c GROUP BY 1""")
 def kendall_classes(spark, sf_dir):
@@ -169,12 +172,6 @@ def date_difference(spark, sf_dir):
     return at(1997).join(at(2000), ["tile_num", "land_cover"]).select("tile_num", "land_cover", F.round(F.col("v2000") - F.col("v1997"), 9).alias("difference"))
 
 
-@query()
-def breakpoints(spark, sf_dir):
-    d = table(spark, sf_dir, "events").groupBy("event_type", F.dayofyear("ts").alias("day")).agg(F.avg("value").alias("v"))
-    return trend.break_table(d, ["event_type"], "day", "v")
-
-
 @query(f"""WITH {SEG}, k AS (SELECT CAST(CASE WHEN age <= 0 THEN 0 WHEN age <= 20 THEN 1 WHEN age <= 36 THEN 2 WHEN age <= 60 THEN 3 WHEN age <= 80 THEN 4 WHEN age <= 100 THEN 5 WHEN age <= 150 THEN 6 ELSE 7 END AS INTEGER) AS age_class,
 CAST(CASE WHEN age = 0 THEN 0 WHEN age BETWEEN 1 AND 20 THEN 1 WHEN age BETWEEN 21 AND 80 THEN 2 WHEN age BETWEEN 81 AND 200 THEN 3 WHEN age > 201 THEN 4 ELSE -1 END AS INTEGER) AS cohort,
 CAST(CASE WHEN slope - 15 < -2 THEN 0 WHEN slope - 15 < -0.5 THEN 1 WHEN slope - 15 <= 0.5 THEN 2 WHEN slope - 15 <= 2 THEN 3 ELSE 4 END AS INTEGER) AS canopy, CAST(CASE WHEN h_can * 2 < 33 THEN 0 WHEN h_can * 2 <= 66 THEN 1 ELSE 2 END AS INTEGER) AS deciduous, agb,
@@ -199,32 +196,12 @@ def analytic_uncertainty(spark, sf_dir):
 
 
 @query(f"""WITH {SEG}, a AS (SELECT age % 8 AS age, avg(agb) FILTER (year = 1997) AS m1, avg(agb_sd) FILTER (year = 1997) AS s1, avg(agb) FILTER (year = 2000) AS m2, avg(agb_sd) FILTER (year = 2000) AS s2 FROM seg GROUP BY 1)
-SELECT age, {rounding('change change_sd percent z')} FROM (SELECT age, m2 - m1 AS change, sqrt(s1 * s1 + s2 * s2) AS change_sd, 100 * (m2 - m1) / m1 AS percent, (m2 - m1) / sqrt(s1 * s1 + s2 * s2) AS z FROM a)""")
+SELECT age, {rounding('change change_sd percent z')}, round(p, 6) AS p_increase FROM (SELECT *, CASE WHEN z >= 0 THEN 1 - half ELSE half END AS p FROM (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2) / 2 AS half FROM (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM (SELECT age, m2 - m1 AS change, sqrt(s1 * s1 + s2 * s2) AS change_sd, 100 * (m2 - m1) / m1 AS percent, (m2 - m1) / sqrt(s1 * s1 + s2 * s2) AS z FROM a))))""")
 def analytic_change(spark, sf_dir):
     at = lambda c, y: F.avg(F.when(F.col("year") == y, F.col(c)))
     a = segments(spark, sf_dir).groupBy((F.col("age") % 8).alias("age")).agg(at("agb", 1997).alias("m1"), at("agb_sd", 1997).alias("s1"), at("agb", 2000).alias("m2"), at("agb_sd", 2000).alias("s2"))
     out = uncertainty.analytic_change(F.col("m1"), F.col("s1"), F.col("m2"), F.col("s2"))
-    return rounded(a.select("age", *[c.alias(n) for n, c in out.items() if n != "p_increase"]))
-
-
-@query()
-def mc_zonal(spark, sf_dir):
-    """Simulated totals by tile group: sums of pixels by class, then draws."""
-    df = segments(spark, sf_dir).groupBy("tile_num", "land_cover", "kendall").agg(F.sum("agb").alias("agb"), F.sqrt(F.sum(F.col("agb_sd") * F.col("agb_sd"))).alias("agb_sd"))
-    return uncertainty.simulated_totals(df, ["tile_num"], ["tile_num", "land_cover", "kendall"], "agb", "agb_sd", 0.09, n=200)
-
-
-@query()
-def mc_carbon(spark, sf_dir):
-    df = segments(spark, sf_dir).select("granule", "line", "part", "tile_num", F.col("agb").alias("biomass_mean"), F.col("agb_sd").alias("biomass_std"), F.col("age").cast("double").alias("age_mean"), F.lit(3.0).alias("age_std"))
-    return uncertainty.carbon_accumulation(df, ["granule", "line", "part", "tile_num"])
-
-
-@query()
-def mc_change(spark, sf_dir):
-    at = lambda c, y: F.avg(F.when(F.col("year") == y, F.col(c)))
-    a = segments(spark, sf_dir).groupBy("kendall").agg(at("agb", 1997).alias("mean1"), at("agb_sd", 1997).alias("sd1"), at("agb", 2000).alias("mean2"), at("agb_sd", 2000).alias("sd2"))
-    return uncertainty.simulated_change(a, ["kendall"], n=1000)
+    return rounded(a.select("age", *[c.alias(n) for n, c in out.items()]))
 
 
 COEFFICIENTS = {"m1": (-90.0, 0.9, 0.05), "m3": (-100.0, 1.0, 0.02), "m8": (-95.0, 0.95, 0.03)}
@@ -243,9 +220,9 @@ FEATURES = ["h_can", "h_dif", "slope", "doy", "age"]
 
 @query()
 def rf_regression(spark, sf_dir):
-    """A small forest, its prediction averaged by tile."""
+    """A forest of a hundred trees, its prediction averaged by tile."""
     df = segments(spark, sf_dir).select("tile_num", "agb", *[F.col(c).cast("double") for c in FEATURES])
-    model = M.forest(df, FEATURES, "agb", trees=10, per_split=3, depth=5)
+    model = M.forest(df, FEATURES, "agb", trees=100, depth=5)
     return M.applied([model], df, FEATURES, F.col("slope") >= 3).groupBy("tile_num", "iteration").agg(F.round(F.avg("value"), 2).alias("density"))
 
 
@@ -268,9 +245,3 @@ def windowed_counts(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = incremental.windowed_counts(e, "ts", "event_type", "value")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
-
-
-@query()
-def hashed_samples(spark, sf_dir):
-    df = segments(spark, sf_dir).select("granule", "line", "part", "agb")
-    return W.stratified(df, "agb", ["granule", "line", "part", "agb"], 4, 25)

@@ -1,8 +1,11 @@
 """A Python data source for granules: one partition for each granule and beam.
 
-Granules are read from Parquet exports, `<folder>/<granule>/<beam>.parquet`; a beam that isn't there
-is skipped, as is one that lacks a column asked for. Exports in HDF5 would need a library that this
-library doesn't require.
+Granules are read from Parquet exports: `<folder>/<granule>/<beam>.parquet`, or what Spark writes partitioned by
+granule and gt, `<folder>/granule=<granule>/gt=<beam>/`. A beam that isn't there is skipped, as is one that lacks a
+column asked for. Exports in HDF5 would need a library that this library doesn't require.
+
+Option version: `old` adds tcc_bin, the upper edge of the ten-percent bin (low, high] of tcc_prc, and leaves quality
+filters to later steps, as the older reader did; anything else reads the columns as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ class GranuleReader(DataSourceReader):
     def __init__(self, schema, options):
         self.names = [f.name for f in schema.fields if f.name not in ("granule_name", "gt")]
         self.order = [f.name for f in schema.fields]
-        self.folder = options["path"]
+        self.folder, self.old = options["path"], options.get("version") == "old"
+        if self.old:
+            self.names = [n for n in self.names if n != "tcc_bin"]
 
     def _open(self, path: str):
         from pyarrow import fs
@@ -35,22 +40,36 @@ class GranuleReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(root))
         return [Beam(f.path, b) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.Directory for b in BEAMS]
 
+    def _files(self, store, partition) -> list[str]:
+        from pyarrow import fs
+
+        single, folder = f"{partition.granule}/{partition.beam}.parquet", f"{partition.granule}/gt={partition.beam}"
+        if store.get_file_info(single).type == fs.FileType.File:
+            return [single]
+        if store.get_file_info(folder).type != fs.FileType.Directory:
+            return []
+        return sorted(f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet"))
+
     def read(self, partition):
         import pyarrow as pa
+        import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
         store, _ = self._open(self.folder)
-        path = f"{partition.granule}/{partition.beam}.parquet"
-        if store.get_file_info(path).type.name != "File":
-            return
-        with store.open_input_file(path) as f:
-            source = pq.ParquetFile(f)
-            if not set(self.names) <= set(source.schema_arrow.names):
-                return
-            for batch in source.iter_batches(columns=self.names):
-                n = batch.num_rows
-                extra = {"granule_name": pa.array([partition.granule.rsplit("/", 1)[-1]] * n, pa.string()), "gt": pa.array([partition.beam] * n, pa.string())}
-                yield pa.RecordBatch.from_arrays([extra[c] if c in extra else batch.column(batch.schema.get_field_index(c)) for c in self.order], names=self.order)
+        wanted = list(dict.fromkeys([*self.names, *(["tcc_prc"] if self.old and "tcc_bin" in self.order else [])]))
+        for path in self._files(store, partition):
+            with store.open_input_file(path) as f:
+                source = pq.ParquetFile(f)
+                if not set(wanted) <= set(source.schema_arrow.names):
+                    return
+                for batch in source.iter_batches(columns=wanted):
+                    n = batch.num_rows
+                    extra = {"granule_name": pa.array([partition.granule.rsplit("/", 1)[-1].removeprefix("granule=")] * n, pa.string()), "gt": pa.array([partition.beam] * n, pa.string())}
+                    if self.old and "tcc_bin" in self.order:
+                        share = batch.column(batch.schema.get_field_index("tcc_prc")).cast(pa.float64())
+                        inside = pc.and_(pc.greater(share, 0.0), pc.less_equal(share, 100.0))
+                        extra["tcc_bin"] = pc.if_else(inside, pc.multiply(pc.ceil(pc.divide(share, 10.0)), 10.0), None).cast(pa.int32())
+                    yield pa.RecordBatch.from_arrays([extra[c] if c in extra else batch.column(batch.schema.get_field_index(c)) for c in self.order], names=self.order)
 
 
 class GranuleSource(DataSource):

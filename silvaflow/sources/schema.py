@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,3 +33,16 @@ def nulls(df: DataFrame, sentinels: Mapping[str, Sequence[float]] | None = None)
     for name, values in (sentinels or {}).items():
         out[name] = F.when(~F.col(name).isin(*values), out.get(name, F.col(name)))
     return df.withColumns(out)
+
+
+def model_named(df: DataFrame) -> DataFrame:
+    """Segment columns under the names that models use."""
+    return df.withColumnsRenamed({k: v for k, v in MODEL_NAMES.items() if k in df.columns})
+
+
+def merged(df: DataFrame, *columns: Mapping[str, Column]) -> DataFrame:
+    """Columns of several mappings; of equal names the later one counts."""
+    out: dict[str, Column] = {}
+    for more in columns:
+        out |= more
+    return df.withColumns(out)

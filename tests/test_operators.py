@@ -204,7 +204,7 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, 0, 0, 2.0), (2, 0, 0, float("nan"))], "tile_num int, row int, col int, v double")
     assert [r.v for r in schema.nulls(df, {"v": [2.0]}).collect()] == [None, None]
     tables.write_tiles(df, str(tmp_path / "tiles"))
-    assert tables.read_parquet(spark, str(tmp_path / "tiles")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "tiles")).count() == 2
     assert tables.list_files(spark, str(tmp_path / "tiles"), "*.parquet").count() == 2
     (tmp_path / "scenes.json").write_text('{"features": [{"id": "HLS.L30.x", "properties": {}, "assets": {"B04": {"href": "s3://a"}, "B05": {"href": "https://b"}}}]}')
     assert [tuple(r) for r in tables.catalogue(spark, str(tmp_path / "scenes.json")).collect()] == [("HLS.L30.x", "HLSL30", "red", "s3://a")]

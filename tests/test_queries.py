@@ -28,7 +28,7 @@ def test_flagship(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["quality_filter_static", "spectral_indices", "biomass_cube", "max_composite", "ols_trend", "theil_sen", "analytic_uncertainty"])
+@pytest.mark.parametrize("name", ["quality_filter_static", "spectral_indices", "biomass_cube", "max_composite", "ols_trend", "pct_composite", "zonal_stats", "analytic_uncertainty", "mc_zonal", "mc_change"])
 def test_stays_in_the_jvm(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_dir: dict[str, str] = {}
+#: Spark's setting of the bytes of an Arrow batch, its default and what whole texts are sent in.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,21 +35,52 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back.
+def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder (in folders by some columns) and read it back.
 
     Spark's commit protocol makes the files whole even if executors are lost. The files live as
     long as the cluster keeps its checkpoint folder, as those of checkpoint() do.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends Arrow batches of 8 MB to Python, unless the setting was given another value.
+
+    A batch and its copies are held by Spark and by Python at once, for each task.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
+def tidied(run):
+    """run, which at its end gives what it has freed back to the system: a Python worker lives on for other tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
+def over_rows(docs: DataFrame, run) -> DataFrame:
+    """Batches of whole rows through run, which keeps their columns; these go by place, so that any name will do."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema)])
+    return small_batches(docs).toDF(*names).mapInArrow(tidied(run), plain).toDF(*docs.columns)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id (long) and text (null becomes empty); other columns go."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def fold(doc_id: Column, parts: int) -> Column:

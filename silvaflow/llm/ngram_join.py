@@ -39,15 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, texts, written
-from .components import connected
-from .exact_dedup import asked, merged
+from .common import join_skewed, texts, tidied, written
+from .components import connected, forest
+from .exact_dedup import asked, merged, probe
 
 SHINGLE = 5
 BITS = 2048
 LEAVES, FANOUT = 32, 8
-#: What one task compares at a time, or twice that: sets, and shingles in them. The last two have no effect any more.
-CHUNK_SETS, CHUNK_SHINGLES, BLOCK_SETS, PIVOTS = 4096, 3_000_000, 4096, 64
+#: What one task compares at a time, or twice that: sets, and shingles in them.
+CHUNK_SETS, CHUNK_SHINGLES = 4096, 3_000_000
 #: Rows of cells that a task folds at a time; shingles of all documents whose cells make a part; bytes of a cell's key there.
 FOLD_ROWS, PART_SHINGLES, KEY_BYTES = 1_000_000, 1_000_000, 7
 #: Pairs of a block from which on it is compared by a matrix product, and the most shared shingles for that.
@@ -136,28 +136,6 @@ def fold_equal(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], ids[starts], forest(ids[other], first[other])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Links (id, smallest id of its component) that tie together what the links a-b do."""
-    if not len(a):
-        return np.empty((0, 2), np.int64)
-    names, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = both[: len(a)], both[len(a) :]
-    label = np.arange(len(names))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    other = label != np.arange(len(names))
-    return np.stack([names[other], names[label[other]]], axis=1)
-
-
 def pack_rows(keys: np.ndarray, ids: np.ndarray) -> bytes:
     """Rows (56 bits of a key, id): ids by their distance from the least one, in as few bytes as that takes."""
     base = int(ids.min())
@@ -308,7 +286,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             n, hi, lo = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, hi, lo))], names=["doc_id", "n", "hi", "lo"])
 
-    rows = written(texts(docs).mapInArrow(run, "doc_id long, n long, hi long, lo long"), "sets")
+    rows = written(texts(docs).mapInArrow(tidied(run), "doc_id long, n long, hi long, lo long"), "sets")
     linked = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     return rows, written(linked.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.min("doc_id").alias("id"), F.count("*").alias("members")), "classes")
 
@@ -353,7 +331,7 @@ def _sharing(docs: DataFrame, bits: int) -> DataFrame:
                 if new.any():
                     yield tallied(ids[new], keys[new] & np.uint64(63), 1)
 
-    rows = texts(docs.filter(F.col("doc_id").isNotNull())).mapInArrow(deal, "part int, rows binary, passed binary").repartition("part").mapInArrow(meet, "id long, band long, delta long")
+    rows = texts(docs.filter(F.col("doc_id").isNotNull())).mapInArrow(tidied(deal), "part int, rows binary, passed binary").repartition("part").mapInArrow(tidied(meet), "id long, band long, delta long")
     return rows.groupBy("id", "band").agg(F.sum("delta").alias("delta")).filter("delta >= 0").select("id").distinct()
 
 
@@ -404,11 +382,14 @@ def _groups(docs: DataFrame, shingles_in_all: int) -> DataFrame:
     """
     bits = min(24, max(3, (shingles_in_all // PART_SHINGLES).bit_length()))
     sharing = written(_sharing(docs, bits), "sharing")
-    text = texts(docs).filter(F.col("doc_id").isNotNull())
-    near = text.filter(_wanted(sharing, sharing.count())(F.col("doc_id")))
+    shared = docs.sparkSession.sparkContext.broadcast(merged(sharing.select(F.xxhash64("id").alias("h")), sharing.count(), "once"))
+
+    def wanted(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(probe(shared.value[0], batch.column(2).to_numpy(), shared.value[1])))
 
     def deal(batches):
-        for _, keys, ids, _ in dealt(batches):
+        for _, keys, ids, _ in dealt(wanted(batches)):
             keys, ids, links = fold_equal(keys, ids)
             yield from packed(keys, ids, bits, np.concatenate([links, np.zeros((len(links), 1), np.int64)], axis=1))
 
@@ -419,8 +400,9 @@ def _groups(docs: DataFrame, shingles_in_all: int) -> DataFrame:
         tied = forest(*np.concatenate(links).T)
         yield pa.RecordBatch.from_arrays([pa.array(tied[:, 0]), pa.array(tied[:, 1])], names=["a", "b"])
 
-    rows = near.mapInArrow(deal, "part int, rows binary, passed binary").repartition("part")
-    return connected(written(rows.mapInArrow(meet, "a long, b long"), "shared-cells"))
+    near = texts(docs).filter(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
+    rows = near.mapInArrow(tidied(deal), "part int, rows binary, passed binary").repartition("part")
+    return connected(written(rows.mapInArrow(tidied(meet), "a long, b long"), "shared-cells"))
 
 
 def _trees(rows: DataFrame) -> DataFrame:
@@ -503,4 +485,4 @@ def _large(members: DataFrame, columns: list[str]) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the smallest doc_id of their component, all columns; rows with a null doc_id stay."""
     found = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,8 +11,8 @@ language is the one with the least code length; the score is the probability tha
 give it among the learned languages.
 
 Learned from a bounded sample: of rows with text and lang in the training fold, the
-`per_language` rows of each language with the smallest hashes of doc_id, down to `sample_chars`
-characters in all (but a text of each language). The sample is the only bound: every lang value is
+`per_language` rows of each language with the smallest hashes of doc_id (found among those below a bound that
+lets about SPARE times as many pass), down to `sample_chars` characters in all (but a text of each language). The sample is the only bound: every lang value is
 learned, and every whole text is scored.
 
 Results: null texts and texts without a letter get `und` and score 0, and so does every text if
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, fold
+from .common import bounded_rows, fold, over_rows, small_batches, tidied
 from .token_ids import groups
 
 ORDER = 3
@@ -39,6 +39,8 @@ SYMBOLS = 257
 SLICE = 500_000
 #: Sampled ids that may be broadcast.
 FEW_IDS = 100_000
+#: How many times the wanted rows of a language may pass the first thinning.
+SPARE = 4
 #: Rows of a batch that are taken at a time.
 ROWS = 1000
 FOLDS, HELD_OUT = 4, 2
@@ -133,13 +135,18 @@ def has_letter(text: str | None) -> bool:
 
 def train(docs: DataFrame, per_language: int = 400, sample_chars: int = 16_000_000) -> Model:
     spark = docs.sparkSession
+    docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     taught = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    values = sorted(r.lang for r in taught.select("lang").distinct().collect())
+    sizes = {r.lang: r["count"] for r in taught.groupBy("lang").count().collect()}  # one row a language
+    values = sorted(sizes)
     if not values:
         return Model([], {})
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = taught.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language)
+    # a language's rows are first thinned by their hashes to a few times those wanted, so that none is a large group
+    share = spark.createDataFrame([(k, int(min(1.0, SPARE * per_language / n) * 2**32)) for k, n in sizes.items()], "lang string, below long")
+    thinned = taught.select("doc_id", "lang").join(F.broadcast(share) if len(values) <= FEW_IDS else share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < F.col("below"))
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)), "doc_id")
+    ids = thinned.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_language)
     ids = ids.select("doc_id", "lang").distinct()
     chosen = taught.join(F.broadcast(ids) if len(values) * per_language <= FEW_IDS else ids, ["doc_id", "lang"]).select("doc_id", "lang", "text")
     samples: dict[str, list[str]] = {k: [] for k in values}
@@ -175,7 +182,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = zip(*predicted(model, batch.column(2).to_pylist())) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(tidied(run), SCHEMA)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -185,10 +192,10 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language could be told (not `und`), whole rows; a null lang becomes the prediction.
 
-    If nothing could be learned, those with a letter.
+    If nothing could be learned, as from a table without lang values or without that column, those with a letter.
     """
     model = train(docs)
-    shared, at, lang = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang")
+    shared, at, lang = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches):
         model = shared.value
@@ -198,8 +205,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 found = part.column(at).to_pylist()
                 names = [name for name, _ in predicted(model, found)]
                 kept = [name != "und" for name in names] if model.languages else list(map(has_letter, found))
-                kind = part.schema.field(lang).type
-                given = [g if g is not None or name == "und" else name for g, name in zip(part.column(lang).to_pylist(), names)]
-                yield part.set_column(lang, part.schema.field(lang), pa.array(given, kind)).filter(pa.array(kept, pa.bool_()))
+                if lang is not None:
+                    given = [g if g is not None or name == "und" else name for g, name in zip(part.column(lang).to_pylist(), names)]
+                    part = part.set_column(lang, part.schema.field(lang), pa.array(given, part.schema.field(lang).type))
+                yield part.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_rows(docs, run)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import texts, tidied
 from .token_ids import encoder
 
 TIERS = (128, 256, 512, 1024)
@@ -127,4 +127,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tupl
         if ids:
             yield block()
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(tidied(run), SCHEMA)

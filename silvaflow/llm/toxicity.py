@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, fold
+from .common import bounded_rows, fold, small_batches, tidied
 from .token_ids import Recent, groups
 
 FOLDS, HELD_OUT = 3, 1
@@ -265,7 +265,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=[c.split()[0] for c in SCHEMA.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(tidied(run), SCHEMA)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,14 +20,14 @@ def _steps():
 
 
 @query(f"""WITH {SEG}, {CEILING}, kept AS (SELECT seg.* FROM seg JOIN ceil_ USING (land_cover) WHERE h_can < ceiling AND h_dif < 7)
-SELECT r_name, n_name, land_cover, count(*) AS n, round(avg(h_can), 10) AS mean_height, round(avg(agb), 10) AS mean_stock
+SELECT r_name, n_name, land_cover, count(*) AS n, avg(h_can) AS mean_height, round(sum(agb), 5) / count(*) AS mean_stock
 FROM kept JOIN supplier ON s_suppkey = tile_num JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3""")
 def tile_class_means(spark, sf_dir):
     """Mean height and stock by realm, tile group and land cover of segments that pass; dimensions are small and Spark picks their joins."""
     kept = Q.below(Q.below_class_ceiling(segments(spark, sf_dir), "land_cover", "h_can"), {"h_dif": 7})
     tiles = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     out = kept.join(tiles.select("s_suppkey", "n_name", "r_name"), F.col("tile_num") == F.col("s_suppkey")).groupBy("r_name", "n_name", "land_cover")
-    return rounded(out.agg(F.count("*").alias("n"), F.avg("h_can").alias("mean_height"), F.avg("agb").alias("mean_stock")), 10)
+    return out.agg(F.count("*").alias("n"), F.avg("h_can").alias("mean_height"), (F.round(F.sum("agb"), 5) / F.count("*")).alias("mean_stock"))
 
 
 @query(f"WITH {SEG}, b AS (SELECT *, {BEAM} AS beam FROM seg) SELECT granule, line, tile_num, h_can, CAST(year AS INTEGER) AS y, month AS m, CAST(day(seen_at) AS INTEGER) AS d, doy FROM b WHERE msw = 0 AND beam = 'Strong' AND snow = 1 AND h_can < 40 AND h_dif < 6 AND month BETWEEN 6 AND 9")

@@ -1,8 +1,8 @@
 """Token-id files of patched frame-of-reference blocks.
 
 A file is a Parquet table, so that any store Spark knows can hold it and its commit protocol
-guards it; each row is one segment: some neighbouring documents in ascending doc_id order and, in
-`payload`, their ids. A payload is, little-endian:
+guards it; each row is one segment: some neighbouring documents in ascending doc_id order with, in
+`payload`, their ids. `range` and `segment` order the segments, `before` is the number of ids of its range before it. A payload is, little-endian:
 
     magic b"PFR1", then unsigned 32-bit: block size, documents, blocks, packed bytes, exceptions;
     signed 64-bit number of ids; documents' doc_id (signed 64-bit), null marks (a byte each), and
@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import texts, tidied, written
 from .token_ids import encoder
 
 MAGIC = b"PFR1"
 BLOCK = 128
 HEAD = struct.Struct("<4s5Iq")
-FILE_SCHEMA = "segment long, first_doc long, n_docs int, n_tokens long, payload binary"
+FILE_SCHEMA = "range int, segment int, before long, first_doc long, n_docs int, n_tokens long, payload binary"
 #: Ids that a segment holds at least, but for a partition's last.
 SEGMENT_TOKENS = 2_000_000
 
@@ -139,18 +139,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, segment_
     """Write the segments of docs to the shared folder; the table of them, as read back.
 
     Documents are dealt out by ranges of doc_id and sorted within them, so a segment's number
-    (range, then place in it) rises with doc_id.
+    (range, then place in it) rises with doc_id. The task that writes a range counts what lies before each segment.
     """
 
     def encode(batches):
-        part, k, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, k, before, coder = TaskContext.get().partitionId(), 0, 0, encoder(tokenizer)
         end = np.asarray([end_id], np.uint32)
         doc_ids, lengths, parts, total = [], [], [], 0
 
         def segment():
             return pa.RecordBatch.from_pylist(
-                [{"segment": (part << 32) + k, "first_doc": doc_ids[0], "n_docs": len(doc_ids), "n_tokens": total, "payload": encode_segment(doc_ids, lengths, np.concatenate(parts))}],
-                pa.schema([("segment", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())]),
+                [{"range": part, "segment": k, "before": before, "first_doc": doc_ids[0], "n_docs": len(doc_ids), "n_tokens": total, "payload": encode_segment(doc_ids, lengths, np.concatenate(parts))}],
+                pa.schema([("range", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())]),
             )
 
         for batch in batches:
@@ -161,21 +161,23 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, segment_
                 total += len(ids) + 1
                 if total >= segment_tokens:
                     yield segment()
-                    k += 1
+                    k, before = k + 1, before + total
                     doc_ids, lengths, parts, total = [], [], [], 0
         if doc_ids:
             yield segment()
 
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(encode, FILE_SCHEMA), "token-files")
+    return written(ordered.mapInArrow(tidied(encode), FILE_SCHEMA), "token-files")
 
 
 def read_token_files(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document of the segments.
 
-    Only the segments' numbers and sizes go through one task, to add up where each begins.
+    Payloads stay where they are read: one number for each range, a range being a task that wrote, is added
+    up in one task and broadcast.
     """
-    base = segments.select("segment", (F.sum("n_tokens").over(Window.orderBy("segment")) - F.col("n_tokens")).alias("base"))
+    sizes = segments.groupBy("range").agg(F.sum("n_tokens").alias("n"))
+    begins = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("begin"))
 
     def decode(batches):
         for batch in batches:
@@ -194,4 +196,5 @@ def read_token_files(segments: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments.select("segment", "payload").join(base, "segment").select("payload", "base").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = segments.select("range", "before", "payload").join(F.broadcast(begins), "range")
+    return placed.select("payload", (F.col("begin") + F.col("before")).alias("base")).mapInArrow(tidied(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")

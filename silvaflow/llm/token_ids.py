@@ -1,26 +1,25 @@
 """Token ids of whole texts through the tokenizers library, with each distinct chunk encoded once.
 
 Text is cut only where the tokenizer itself always cuts, so the ids equal those of one call on the
-whole text; texts in which such cuts aren't certain go to the library whole.
+whole text; texts in which such cuts aren't certain go to the library whole. A chunk of printable ASCII or a word
+of Latin letters is split here; any other goes through the library's own normalizer and pre-tokenizer, whose tables of
+letters, digits, white space and lower case are the ones that count.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import unicodedata
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Lower case of these depends on the context or changes the length.
-ODD_CASE = "Σİ"
 #: Unicode white space and separators besides the space and the line feed.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Characters of text worked on at a time.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 4_000_000
 
 
 class Recent(dict):
@@ -50,6 +49,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in kept else chr(next(spare)) for b in range(256)}
 
 
+def plain(chunk: str) -> bool:
+    """Printable ASCII, or a word of Latin letters, perhaps with a comma or full stop behind it: every table agrees on these."""
+    if chunk.isascii():
+        return chunk.isprintable()
+    word = chunk[:-1] if chunk[-1] in ",." else chunk
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
+def latin(text: str) -> bool:
+    """Characters below U+0100 alone, in which lower case never depends on a table's age or the context."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def even_space(text: str) -> bool:
     """Only single spaces and line feeds, each between two other characters."""
     return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in OTHER_SPACE))
@@ -95,14 +111,20 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _ids(self, pieces: list[str]) -> bytes:
+    def _ids(self, pieces: list[str], lettered: bool = False) -> bytes:
+        """lettered: the pieces are written in byte letters already."""
         ids = array("I")
         for piece in pieces:
-            if not (piece.isascii() and piece.isalpha()):
+            if not lettered and not (piece.isascii() and piece.isalpha()):
                 piece = piece.encode().decode("latin-1").translate(self.letters)
             ids.extend([t.id for t in self.library.model.tokenize(piece)])
         return ids.tobytes()
 
+    def _own(self, chunk: str) -> bytes:
+        """Ids of a chunk as the library normalises and splits it."""
+        chunk = self.library.normalizer.normalize_str(chunk) if self.library.normalizer else chunk
+        return self._ids([p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)], True)
+
     def _split(self, chunk: str, before: str = "") -> list[str]:
         """The pattern's pieces; a word, alone or with a comma or full stop after it, needs no search."""
         if chunk.isalpha():
@@ -112,11 +134,15 @@ class Encoder:
         return self.pieces.findall(before + chunk)
 
     def _words(self, chunk: str) -> bytes:
-        return self._ids(self._split(chunk)) if chunk else b""
+        if not chunk:
+            return b""
+        return self._ids(self._split(chunk.lower())) if plain(chunk) else self._own(chunk)
 
     def _spaced(self, chunk: str) -> bytes:
         if not chunk:
             return b""
+        if not plain(chunk.lstrip("\0\n") or " "):
+            return self._own(chunk if chunk[0] == "\n" else chunk[1:] if chunk[0] == "\0" else " " + chunk)
         if chunk[0] == "\n":
             return self._ids(self.pieces.findall(chunk))
         # U+0000 marks a text's first chunk, which has no space before it
@@ -124,15 +150,13 @@ class Encoder:
 
     def _cut(self, texts: list[str]) -> pa.ListArray:
         if self.kind == "words":
-            return pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+            return pc.ascii_split_whitespace(pa.array([t.lower() if t.isascii() or latin(t) else t for t in texts], pa.large_string()))
         return pc.split_pattern(pa.array(["\0" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
 
     def _certain(self, text: str) -> bool:
         if not text or any(s in text for s in self.special):
             return False
-        if self.kind == "words":
-            return text.isascii() or unicodedata.is_normalized("NFC", text) and not any(c in text for c in ODD_CASE)
-        return self.kind == "spaced" and "\0" not in text and even_space(text)
+        return self.kind == "words" or self.kind == "spaced" and "\0" not in text and even_space(text)
 
     def group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (one more than texts)."""

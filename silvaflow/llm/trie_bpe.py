@@ -20,17 +20,13 @@ import hashlib
 import json
 import os
 import re
-import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
-from .token_ids import ODD_CASE, Recent, byte_letters, groups
+from .common import texts, tidied
+from .token_ids import Recent, byte_letters, groups, plain
 
-#: Str.split() takes these as white space, the tokenizer does not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-WHITE_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -122,14 +118,16 @@ class TrieEncoder:
             before = word
         return out
 
-    def _pieces(self, chunk: str) -> list[str]:
+    def _pieces(self, chunk: bytes) -> list[str]:
         """The words of a chunk without ASCII white space, in byte letters."""
-        if chunk.isascii() and chunk.isprintable():  # such bytes stand for themselves
-            return [chunk] if chunk.isalpha() else self.word_pattern.findall(chunk)
-        pieces = self.word_pattern.findall(self.library.normalizer.normalize_str(chunk))
-        return [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-
-    def _chunk(self, chunk: str, pieces: list[str] | None = None) -> tuple[int, str, str]:
+        text = chunk.decode()
+        if plain(text):
+            low = text.lower()
+            words = [low] if low.isalpha() else [low[:-1], low[-1]] if low[:-1].isalpha() and low[-1] in ",." else self.word_pattern.findall(low)
+            return words if low.isascii() else [w.encode().decode("latin-1").translate(self.letters) for w in words]  # ASCII stands for itself
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+
+    def _chunk(self, chunk: bytes, pieces: list[str] | None = None) -> tuple[int, str, str]:
         ids = [i for p in pieces or self._pieces(chunk) for i in self.words[p]]
         return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
@@ -137,18 +135,10 @@ class TrieEncoder:
         """The file has no decoder: tokens are joined by one space."""
         return " ".join(map(self.names.__getitem__, ids))
 
-    def _plain(self, text: str) -> list[str]:
-        """Chunks between white space; str.split() also cuts at four separators that aren't white space."""
-        if text.isascii() or unicodedata.is_normalized("NFC", text) and not any(c in text for c in ODD_CASE):
-            text = text.lower()
-        else:
-            text = self.library.normalizer.normalize_str(text)
-        return [c for c in WHITE_SPACE.split(text) if c] if any(c in text for c in SEPARATORS) else text.split()
-
     def group(self, batch: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids as text, decoded text) of each text."""
         cut = [[(s, s in self.special) for s in self.cut_special.split(t) if s] for t in batch]
-        cut = [[([s] if special else self._plain(s), special) for s, special in parts] for parts in cut]
+        cut = [[([s] if special else s.encode().split(), special) for s, special in parts] for parts in cut]  # bytes: ASCII white space only
         for cache in (self.words, self.chunks, self.pairs):
             cache.trim()
         new = {c for parts in cut for chunks, special in parts if not special for c in chunks} - self.chunks.keys() - self.chunks.old.keys()
@@ -188,4 +178,4 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
             n, i, d = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(tidied(run), SCHEMA)

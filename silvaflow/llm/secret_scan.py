@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import over_rows, texts, tidied
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -45,7 +45,9 @@ KEYS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])")
 LONGEST_DATE = 10
 RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+LONGEST_WORD, ENDINGS = max(map(len, WORDS)), {w[-3:] for w in WORDS}
+#: Lengths of a repeat's unit; log10 of the digits, letters and other characters, and of a walk's turn.
+UNITS, BRUTE, TURN = (1, 2, 3, 4), tuple(map(math.log10, (10, 26, 33))), math.log10(6)
 #: What common substitutions stand for.
 PLAIN = str.maketrans("@4301!5$7", "aaeoiisst")
 SPANS_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, assign_log10 array<double>"
@@ -67,37 +69,93 @@ def stride(a: str, b: str):
 
 
 def brute(c: str) -> float:
-    return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
+    return BRUTE[0] if c.isdigit() else BRUTE[1] if c.isalpha() else BRUTE[2]
+
+
+class Starts:
+    """The cheapest start of a piece whose cost at its end j is w + log10(j - i), for ends that come in order.
+
+    A later start is dearer or drops out at once, and what it gains by being nearer shrinks with every end, so
+    each start is the best one for one stretch of ends at most: the top is the best now, those below come
+    later. Each start goes in and out once, so all ends together take linear time.
+    """
+
+    def __init__(self):
+        self.held: list[tuple[int, float]] = []
+
+    def add(self, i: int, w: float, end: int) -> None:
+        """From `end` on, i is a start."""
+        held = self.held
+        while held and held[-1][1] >= w:
+            held.pop()
+        if held and w + math.log10(end - i) >= self.best(end):
+            return  # nor will it be the best of a later end
+        while len(held) > 1 and self.until(held[-2], held[-1]) <= self.until(held[-1], (i, w)):
+            held.pop()
+        held.append((i, w))
+
+    @staticmethod
+    def until(far: tuple[int, float], near: tuple[int, float]) -> float:
+        """The end from which on the far start is the cheaper one."""
+        r = 10 ** (far[1] - near[1])
+        return (near[0] - r * far[0]) / (1 - r) if r < 1 else math.inf
+
+    def best(self, end: int) -> float:
+        held = self.held
+        while len(held) > 1 and held[-2][1] + math.log10(end - held[-2][0]) <= held[-1][1] + math.log10(end - held[-1][0]):
+            held.pop()
+        return held[-1][1] + math.log10(end - held[-1][0]) if held else math.inf
 
 
 def guess_log10(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of value costs."""
-    n, low = len(value), value.lower()
+    """log10 of the guesses that the cheapest segmentation of value costs, in time linear in its length.
+
+    A piece costs: a character its alphabet (10, 26 or 33); a word twice its rank, four times that if written
+    with substitutions, and one more than its capitals; a year 200, a date 200 * 365; a repeat its unit of one
+    to four characters and the number of times; a walk over neighbouring keys or characters 47 times its
+    length, and 6 for each turn.
+    """
+    n = len(value)
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(PLAIN)
+    single = [brute(c) for c in low]
     cost = [0.0] + [math.inf] * n
-    for i in range(n):
-        if cost[i] + brute(value[i]) < cost[i + 1]:  # a brute-force character
-            cost[i + 1] = cost[i] + brute(value[i])
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):  # a word, perhaps with capitals or substitutions
-            rank = RANK.get(low[i:j]) or 4 * RANK.get(plain[i:j], 0)
-            if rank:
+    century = {m.start() for m in re.finditer("(?=19|20)", value)}
+    repeats = {u: [Starts() for _ in range(u)] for u in UNITS}
+    same = dict.fromkeys(UNITS, 0)  # how many characters up to here equal those a unit before
+    walk, length, turned, before = Starts(), 1, [0] * (n + 1), None  # turned: turns up to each character
+    for j in range(1, n + 1):
+        best = cost[j - 1] + single[j - 1]
+        for i in range(max(0, j - LONGEST_WORD), j - 2) if low[j - 3 : j] in ENDINGS or plain[j - 3 : j] in ENDINGS else ():
+            if low[i:j] in RANK or plain[i:j] in RANK:
+                rank = RANK.get(low[i:j]) or 4 * RANK[plain[i:j]]
                 capitals = sum(c.isupper() for c in value[i:j])
-                cost[j] = min(cost[j], cost[i] + math.log10(2 * rank) + math.log10(1 + capitals))
-        for j in range(i + 4, min(n, i + LONGEST_DATE) + 1) if value[i].isdigit() else ():  # a year or a date of any length
-            if DATE.fullmatch(value, i, j):
-                cost[j] = min(cost[j], cost[i] + math.log10(200 if j - i == 4 else 200 * 365))
-        for unit in (1, 2, 3, 4):  # a repeat of one to four characters
-            j = i + unit
-            while low[j : j + unit] == low[i : i + unit] and j + unit <= n:
-                j += unit
-                cost[j] = min(cost[j], cost[i] + sum(map(brute, value[i : i + unit])) + math.log10((j - i) // unit))
-        j, turns, before = i + 1, 0, None  # a keyboard walk or a run of neighbouring characters
-        while j < n and (step := stride(low[j - 1], low[j])) is not None:
-            turns += before is not None and step != before
-            before = step
-            j += 1
-            if j - i >= 3:
-                cost[j] = min(cost[j], cost[i] + math.log10(47 * (j - i)) + turns * math.log10(6))
+                best = min(best, cost[i] + math.log10(2 * rank * (1 + capitals)))
+        if century and value[j - 1].isdigit():
+            for i in range(max(0, j - LONGEST_DATE), j - 3):
+                if value[i].isdigit() and not century.isdisjoint(range(i, j - 3)) and DATE.fullmatch(value, i, j):
+                    best = min(best, cost[i] + math.log10(200 if j - i == 4 else 200 * 365))
+        for u in UNITS:
+            same[u] = same[u] + 1 if j > u and low[j - 1] == low[j - 1 - u] else 0
+            starts = repeats[u][j % u]
+            if same[u] >= u:
+                i = j - 2 * u
+                starts.add(i, cost[i] + sum(single[i : i + u]) - math.log10(u), j)
+                best = min(best, starts.best(j))
+            elif not same[u]:
+                for other in repeats[u]:
+                    other.held.clear()
+        step = stride(low[j - 2], low[j - 1]) if j > 1 else None
+        length = length + 1 if step is not None else 1
+        turned[j] = turned[j - 1] + (step is not None and before is not None and step != before)
+        before = step
+        if length >= 3:  # the first two characters of a piece make no turn
+            i = j - 3
+            walk.add(i, cost[i] + math.log10(47) - TURN * turned[i + 2], j)
+            best = min(best, walk.best(j) + TURN * turned[j])
+        elif length == 1:
+            walk.held.clear()
+        cost[j] = best
     return cost[n]
 
 
@@ -145,7 +203,7 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[c.split()[0] for c in SPANS_SCHEMA.split(", ")])
 
-    return texts(docs).mapInArrow(run, SPANS_SCHEMA)
+    return texts(docs).mapInArrow(tidied(run), SPANS_SCHEMA)
 
 
 def redacted(text: str | None, mark: str) -> str | None:
@@ -168,7 +226,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 part = batch.slice(a, ROWS)
-                yield part.set_column(at, "text", pa.array([redacted(t, mark) for t in part.column(at).to_pylist()], part.schema.field(at).type))
+                yield part.set_column(at, part.schema.field(at), pa.array([redacted(t, mark) for t in part.column(at).to_pylist()], part.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = over_rows(docs, run)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -8,7 +8,7 @@ what is left at the end is a star around the least id of each component.
 Labels and links stay distributed. Before the rounds a task puts together what its own links tie, so
 that links which say the same go once. The end of a link that very many others share is joined by
 broadcast (join_skewed), so that no task gets all of its links; least neighbours are combined before the
-shuffle. Each half of a round is written, so lineage stays short.
+shuffle. Each half of a round is written, so lineage stays short, and what it was made from is removed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, tidied, written
+from .common import join_skewed, removed, tidied, written
 
 #: Rows that a task writes at least, so that small tables are few files; links that a task ties together at a time.
 ROWS, TIED = 500_000, 2_000_000
@@ -73,20 +73,21 @@ def _links(a: str, b: str) -> list:
 def connected(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id) for each id in the columns a and b of edges."""
     links = written(tied(edges).select(*_links("a", "b")).distinct(), "links")
-    n = links.count()
-    while n:
+    n, moved = links.count(), True
+    while n and moved:
         few = max(4, -(-n // ROWS))
         low = links.groupBy("a").agg(F.min("b").alias("low"))
         ends = links.groupBy("b").agg(F.count("*").alias("degree")).join(low.withColumnRenamed("a", "b"), "b", "left")
-        large = join_skewed(links, written(ends.coalesce(few), "ends"), ["b"], "degree", n)
-        larger = written(large.select("a", F.coalesce("low", "b").alias("b"), (F.col("low").isNotNull()).alias("moved")).groupBy("a", "b").agg(F.max("moved").alias("moved")).coalesce(few), "links")
-        # a vertex has few smaller neighbours by now, so these groups are small
+        ends = written(ends.coalesce(few), "ends")
+        large = join_skewed(links.select("a", "b"), ends, ["b"], "degree", n)
+        larger = written(large.select("a", F.coalesce("low", "b").alias("b"), F.col("low").isNotNull().alias("moved")).groupBy("a", "b").agg(F.max("moved").alias("moved")).coalesce(few), "links")
+        removed(links, ends)
+        # a vertex has one smaller neighbour from each task that met it, so these groups are small
         low = larger.groupBy("a").agg(F.min("b").alias("low"))
         small = larger.join(low, "a").select("a", "b", "low", (F.col("moved") | (F.col("b") > F.col("low"))).alias("moved"))
+        # of a vertex's links, those to others than the least become links of these others; the one to the least stays
         kept = small.select(F.when(F.col("b") > F.col("low"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b"), "moved")
-        # the vertex itself stays tied to the least: its row with that neighbour is among those kept
         links = written(kept.groupBy("a", "b").agg(F.max("moved").alias("moved")).coalesce(few), "links")
-        if not links.filter("moved").limit(1).count():
-            break
-        links, n = links.select("a", "b"), links.count()
+        removed(larger)
+        n, moved = links.count(), bool(links.filter("moved").limit(1).count())
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -1,12 +1,15 @@
 """The text operators against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from silvaflow.llm import exact_dedup, langid, ngram_join, packing, pii, secret_scan, token_files, topk, toxicity, trie_bpe
 from silvaflow.llm.common import tokenizer_path
@@ -28,6 +31,10 @@ def library(path):
     return Tokenizer.from_file(path)
 
 
+def key_table(spark):
+    return spark.createDataFrame([("k",)], "key string")
+
+
 def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
@@ -274,8 +281,6 @@ def families(seed):
 def test_ngram_join(spark, monkeypatch, seed):
     if seed % 2:  # groups too large for a task
         monkeypatch.setattr(ngram_join, "CHUNK_SETS", 5)
-        monkeypatch.setattr(ngram_join, "PIVOTS", 2)
-        monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
     texts = families(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(table(spark, texts)).collect()}
     want = brute_components(list(enumerate(texts)))
@@ -462,14 +467,14 @@ def test_pseudonyms(spark):
         "",
         None,
     ]
-    got = by_id(pii.pseudonyms(table(spark, texts), "k"))
+    got = by_id(pii.pseudonyms(table(spark, texts), key_table(spark)))
     assert [got[k].n_found for k in range(8)] == [2, 1, 2, 1, 2, 2, 0, 0]
     local = brute_feistel("jdoe.19", "k", "email")
     assert f"{local}@mail5.example.com" in got[0].text and f"{local}@mail5.example.com" in got[5].text
     assert re.fullmatch(r"mail [a-z]{4}\.\d\d@mail5\.example\.com or \+1 \(3\d\d\) 5\d\d-\d{4}\.", got[0].text)
-    body = "4" + brute_feistel("111 1111 1111 111", "k", "card")
+    body = "4" + brute_feistel("11111111111111", "k", "card")
     card = re.search(r"card ([0-9 ]{19}),", got[1].text)[1]
-    assert card[:-1] == body and luhn_ok(card) and "4111111111111112" in got[1].text and card in got[5].text
+    assert card.replace(" ", "")[:-1] == body and luhn_ok(card) and "4111111111111112" in got[1].text and card in got[5].text
     assert "2024-02-30" in got[2].text and "2024-02-29" not in got[2].text and "31/12/1999" not in got[2].text
     assert "300.1.1.1" in got[3].text and "1.2.3.4.5" in got[3].text and "at 1.2.3.4 " not in got[3].text
     assert "000-12-3456" in got[4].text and re.search(r"ssn 123-\d\d-\d{4} ", got[4].text)
@@ -478,19 +483,92 @@ def test_pseudonyms(spark):
     assert int(moved) % 97 == 1 and iban != "GB82WEST12345698765432"
     assert got[6].text == "" and got[7].text is None
     docs = table(spark, texts)
-    assert pii.pseudonymise(docs, "k").columns == docs.columns
-    plan = pii.pseudonyms(docs, "k")._jdf.queryExecution().executedPlan().toString()
+    assert pii.pseudonymise(docs, key_table(spark)).columns == docs.columns
+    plan = pii.pseudonyms(docs, key_table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def pseudonym(card):
+    body = card[0] + brute_feistel(card.replace(" ", "")[1:-1], "k", "card")
+    return next(body + c for c in "0123456789" if luhn_ok(body + c))
+
+
+def brute_pair(x, y, a, b, kind):
+    for k in range(1, pii.ROUNDS + 1):
+        by = int(hashlib.sha256(f"k|{kind}|{k}|{y if k % 2 else x}".encode()).hexdigest()[:12], 16)
+        x, y = ((x + by) % a, y) if k % 2 else (x, (y + by) % b)
+    return x, y
+
+
+def test_every_kind_against_brute_force(spark):
+    """Dates in all notations, addresses, numbers and accounts: the pseudonym that a plain loop over the rounds gives."""
+    from datetime import date, timedelta
+
+    first = date(1900, 1, 1)
+
+    def day(d):
+        n = (d - first).days
+        x, y = brute_pair(n // 4297, n % 4297, 17, 4297, "date")
+        return first + timedelta(x * 4297 + y)
+
+    def account(iban):
+        body = brute_feistel(iban[4:], "k", "iban")
+        rest = int("".join(str(int(c, 36)) for c in body + iban[:2] + "00")) % 97
+        return f"{iban[:2]}{98 - rest:02d}{body}"
+
+    def address(text):
+        p = list(map(int, text.split(".")))
+        x, y = brute_pair(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ip")
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+
+    def social(text):
+        x, y = brute_pair(int(text[4:6]) - 1, int(text[7:]) - 1, 99, 9999, "ssn")
+        return f"{text[:3]}-{x + 1:02d}-{y + 1:04d}"
+
+    def phone(text):
+        d = re.sub("[^0-9]", "", text)[-10:]
+        moved = brute_feistel(d[1:3] + d[4:6] + d[6:], "k", "phone")
+        digits = iter(d[0] + moved[:2] + d[3] + moved[2:])
+        head = len(text) - len(text[re.search(r"\(?[1-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}.[0-9]{4}$", text).start() :])
+        return text[:head] + "".join(next(digits) if c.isdigit() else c for c in text[head:])
+
+    random.seed(4)
+    cases = []
+    for _ in range(12):
+        d = first + timedelta(random.randrange(73049))
+        cases += [(d.isoformat(), day(d).isoformat()), (d.strftime("%d/%m/%Y"), day(d).strftime("%d/%m/%Y")), (d.strftime("%d.%m.%Y"), day(d).strftime("%d.%m.%Y"))]
+        a = ".".join(str(random.randrange(256)) for _ in range(4))
+        s = f"{random.choice([123, 665, 899])}-{random.randrange(1, 100):02d}-{random.randrange(1, 10000):04d}"
+        cases += [(a, address(a)), (s, social(s))]
+    cases += [(t, phone(t)) for t in ("(372) 555-9077", "+1 372-555-9077", "372.555.9077", "1 (372) 555-9077")]
+    cases += [(t, account(t)) for t in ("GB82WEST12345698765432", "DE89370400440532013000", "FR1420041010050500013M02606")]
+    cases += [("jo.doe+x@mail.example.org", brute_feistel("jo.doe+x", "k", "email") + "@mail.example.org")]
+    cases += [(t, "".join(c if c in " -" else next(it) for c in t)) for t in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111") for it in [iter(pseudonym("4111111111111111"))]]
+    got = by_id(pii.pseudonyms(table(spark, [f"x {t} y" for t, _ in cases]), key_table(spark)))
+    for k, (was, now) in enumerate(cases):
+        assert got[k].text == f"x {now} y" and got[k].n_found == 1, (was, now, got[k].text)
+
+
+def test_the_key_is_in_no_plan_and_is_required(spark):
+    secret = spark.createDataFrame([("a very secret key",)], "key string").cache()
+    clash = spark.createDataFrame([(1, "mail me@x.example.com", "m", "f", "k", 2)], "doc_id long, text string, marked string, found string, key string, `a.b` int")
+    out = pii.pseudonymise(clash, secret)
+    assert out.columns == clash.columns
+    row = out.first()
+    assert (row.marked, row.found, row.key, row["a.b"]) == ("m", "f", "k", 2) and "me@x" not in row.text
+    assert "a very secret" not in out._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="need a key"):
+        pii.pseudonymise(clash, secret.limit(0)).collect()
+
+
 def test_cards_next_to_other_digits(spark):
     card, spaced = "4111111111111111", "4111 1111 1111 1111"
     cases = [(f"{card} 12/27", card), (f"{spaced} 123", spaced), (f"item 7 {card}", card), (f"1 2 3 1 {spaced} 0", spaced), (f"{spaced} {card}", card), (f"{card} 2024-02-29.", card), (f"no  {card}  99", card), (f"\ufdd0{card}\ufdd1 x", card), ("7 " * 3000 + card, card)]
     kept = ["1234 5678 9012 3456 7", "\ufdd04111111111111112\ufdd1", "1--2 " * 20]
-    got = by_id(pii.pseudonyms(table(spark, [t for t, _ in cases] + kept), "k"))
+    got = by_id(pii.pseudonyms(table(spark, [t for t, _ in cases] + kept), key_table(spark)))
     for k, (text, value) in enumerate(cases):
-        made = value[0] + brute_feistel(value[1:-1], "k", "card")
-        made = next(made + c for c in "0123456789" if luhn_ok(made + c))
+        digits = iter(pseudonym(value))
+        made = "".join(c if c == " " else next(digits) for c in value)
         assert value not in got[k].text and made in got[k].text and len(got[k].text) == len(text), text
     assert [got[k].n_card for k in range(9)] == [1, 1, 1, 1, 2, 1, 1, 1, got[8].n_card]
     assert got[5].n_date == 1 and "2024-02-29" not in got[5].text and got[7].text[0] == "\ufdd0"
@@ -501,9 +579,9 @@ def test_pseudonyms_are_permutations(spark):
     from pyspark.sql import functions as F
 
     df = spark.range(10_000)
-    codes = df.select(pii.feistel_text(F.lpad(F.col("id").cast("string"), 4, "0"), "k", "t").alias("x"))
+    codes = df.select(pii.feistel_text(F.lpad(F.col("id").cast("string"), 4, "0"), F.lit("k"), "t").alias("x"))
     assert codes.distinct().count() == 10_000
-    days = spark.range(17 * 40).select(pii.feistel_pair(F.col("id") / 40, F.col("id") % 40, 17, 40, "k", "d").alias("x"))
+    days = spark.range(17 * 40).select(pii.feistel_pair(F.col("id") / 40, F.col("id") % 40, 17, 40, F.lit("k"), "d").alias("x"))
     assert days.distinct().count() == 17 * 40
 
 
@@ -555,3 +633,139 @@ def test_secret_scan_and_redaction(spark):
     assert [clean[k].text for k in range(5)] == ["clean", 'x [SECRET]" y', None, "", "[SECRET] [SECRET]"]
     assert clean[1].n_chars == len('x [SECRET]" y') and clean[2].n_chars == 0
     assert secret_scan.scan(table(spark, ["x"]).limit(0)).count() == 0
+
+
+# more rows than a filter takes, long values, all characters, odd tables
+
+
+def test_exact_dedup_in_parts(spark, monkeypatch):
+    """Filters of 64 kbit for 30,000 rows: the hashes are cut into parts, and nothing changes."""
+    monkeypatch.setattr(exact_dedup, "MOST_LOG2_BITS", 16)
+    n = 20_000
+    assert exact_dedup.prefix_bits(n) == 3
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("t"), (F.col("id") % 700).cast("string"))).otherwise(F.col("id").cast("string")).alias("text"))
+    groups = {}
+    for k in range(n):
+        groups.setdefault(f"t{k % 700}" if k % 10 == 0 else str(k), []).append(k)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.digests(docs).collect()}
+    assert got == {k: (max(g), len(g), k == max(g)) for g in groups.values() for k in g}
+    assert sorted(r.doc_id for r in exact_dedup.deduplicate(docs).collect()) == sorted(max(g) for g in groups.values())
+
+
+def test_deduplicate_settles_ties_by_the_other_columns(spark):
+    rows = [(1, "x", c) for c in "abcdef"]
+    kept = {exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(p, "lang")).first().lang for p in (1, 3, 6)}
+    assert len(kept) == 1
+
+
+def segment_cost(value, i, j):
+    """The least cost of value[i:j] as one piece, from the definition."""
+    piece, low = value[i:j], value[i:j].lower()
+    plain, out = low.translate(secret_scan.PLAIN), [math.inf]
+    if len(piece) == 1:
+        out.append(math.log10(10 if piece.isdigit() else 26 if piece.isalpha() else 33))
+    for word, rank in ((low, 1), (plain, 4)):
+        if word in secret_scan.WORDS and len(piece) >= 3:
+            out.append(math.log10(2 * rank * (secret_scan.WORDS.index(word) + 1)) + math.log10(1 + sum(c.isupper() for c in piece)))
+            break
+    if 4 <= len(piece) <= 10 and secret_scan.DATE.fullmatch(piece):
+        out.append(math.log10(200 if len(piece) == 4 else 73_000))
+    for unit in (1, 2, 3, 4):
+        times, rest = divmod(len(piece), unit)
+        if not rest and times > 1 and low == low[:unit] * times:
+            out.append(sum(segment_cost(c, 0, 1) for c in piece[:unit]) + math.log10(times))
+    steps = [secret_scan.stride(a, b) for a, b in zip(low, low[1:])]
+    if len(piece) >= 3 and None not in steps:
+        out.append(math.log10(47 * len(piece)) + math.log10(6) * sum(a != b for a, b in zip(steps, steps[1:])))
+    return min(out)
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    random.seed(8)
+    values = ["Qwerty", "p@ss12", "aaaaab", "2024ab", "asdfds", "abcabc", "zz1990", "Dragon", "1a1a1a", "drowss", "a" * 9, "121212121", "20202020"]
+    values += ["".join(random.choice(al) for _ in range(random.randint(1, 9))) for al in ("ab", "as1", "0129-", "pas@$0word", "qwerasdf", "aA!") for _ in range(12)]
+    for value in values:
+        n, best = len(value), math.inf
+        for cuts in range(1 << (n - 1)):
+            ends = [k + 1 for k in range(n - 1) if cuts >> k & 1] + [n]
+            best = min(best, sum(segment_cost(value, a, b) for a, b in zip([0, *ends], ends)))
+        assert secret_scan.guess_log10(value) == pytest.approx(best, abs=1e-9), value
+
+
+@pytest.mark.parametrize("value", ["a", "as", "20", "Xq7", "password"])
+def test_guess_cost_of_very_long_values_is_linear(value):
+    """Twice the length takes about twice the time: some hundred thousand characters, never the square."""
+    took = []
+    for n in (50_000, 100_000):
+        began = time.process_time()
+        secret_scan.guess_log10((value * n)[:n])
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 0.5 and took[1] < 15
+
+
+def test_guesses_are_spans_beyond_the_patterns(spark):
+    texts = ["db_password = P@ss!w0rd#91x", "passphrase: correct-horse!battery", "password: aaaaaaaaaaaa", "the word is nothing", "pwd is x9!kQ2@zz and so on"]
+    got = by_id(secret_scan.scan(table(spark, texts)))
+    assert [got[k].n_guess for k in range(5)] == [1, 1, 0, 0, 1]
+    red = by_id(secret_scan.redact(table(spark, texts)))
+    assert "w0rd#91x" not in red[0].text and "x9!kQ2" not in red[4].text and red[3].text == texts[3]
+
+
+@pytest.mark.parametrize("path, kind", [(WORD, "op3"), (BYTE, "op5"), (WORD, "op7")])
+def test_every_character_is_split_as_the_library_does(path, kind):
+    """All code points of the first three planes: inside a word, after a digit and alone."""
+    from silvaflow.llm.token_ids import Encoder
+
+    lib, coder = library(path), trie_bpe.TrieEncoder(path) if kind == "op7" else Encoder(path)
+    chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and not 0x3400 <= c < 0xA000 and not 0xAC00 <= c < 0xD7A4 and not 0x20000 <= c < 0x2FF00]
+    for a in range(0, len(chars), 8000):
+        texts = [" ".join(f"a{c}B 1{c} {c}" for c in chars[b : b + 40]) for b in range(a, min(len(chars), a + 8000), 40)]
+        want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        got = [list(map(int, g[1].split())) for g in coder.group(texts)] if kind == "op7" else [list(x) for x in coder.encode(texts)]
+        assert got == want
+
+
+def test_long_texts(spark):
+    """A text of three hundred thousand words passes every operator that reads texts."""
+    long = " ".join(f"w{k % 9000}" for k in range(300_000)) + " password=hunter22x"
+    docs = table(spark, [long, long + " more", "a short one in between"])
+    assert {r.group_size for r in exact_dedup.digests(docs).collect()} == {1}
+    near = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert near == {0: 0, 1: 0, 2: 2}
+    assert by_id(secret_scan.scan(docs))[0].n_assign == 1
+    assert langid.identify(docs).filter("lang_pred = 'en'").count() == 3
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(3)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, labels).count() == 3
+    assert pii.pseudonyms(docs, key_table(spark)).filter("n_found = 0").count() == 3
+
+
+def test_language_sample_is_thinned_evenly(spark):
+    """Many rows of one language: the sample is the rows of smallest hashes."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 5990, "xx").otherwise("yy").alias("lang"))
+    model = langid.train(docs, per_language=50)
+    assert model.languages == ["xx", "yy"]
+    assert langid.predict(docs, model).count() == 6000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_against_union_find(spark, seed):
+    """Long paths, stars around large and small ids, loops and repeated links."""
+    from silvaflow.llm import components
+
+    random.seed(seed)
+    links = [(k, k + 1) for k in range(100, 160)] + [(999, k) for k in range(200, 240)] + [(1, k) for k in range(300, 340)] + [(7, 7), (500, 501), (501, 500)]
+    links += [(random.randint(1000, 1100), random.randint(1000, 1100)) for _ in range(60)]
+    random.shuffle(links)
+    parent = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = components.connected(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert {r.id: r.component for r in got} == {x: root(x) for x in parent} and len(got) == len(parent)

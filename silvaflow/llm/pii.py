@@ -9,7 +9,8 @@ first valid ones are taken, the longest from each group, and marked before the o
 A value is cut into halves; in each round one half is shifted by what a keyed SHA-256 of the other
 gives. A shift keeps a letter a letter of its case and a digit a digit, or stays within the half's
 range, so the network is a permutation of the values of a format: equal values get equal pseudonyms
-in every document, different ones different ones, and whoever has the key can go back. Check digits
+in every document and, cards and telephone numbers, in every notation, different ones different ones, and
+whoever has the key can go back. The key comes as a table of one row, so that it stands in no plan or log. Check digits
 are worked out anew; a card keeps its first digit, a telephone number its country code and the
 first digits of area and exchange, an address its domain, a social security number its area, an IBAN
 its country. Dates map to dates in the same notation.
@@ -51,8 +52,8 @@ def whole(x: Column) -> Column:
     return x.cast("long")
 
 
-def keyed(key: str, kind: str, step: Column, other: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), other.cast("string")), 256)
+def keyed(key: Column, kind: str, step: Column, other: Column) -> Column:
+    return F.sha2(F.concat_ws("|", key, F.lit(kind), step.cast("string"), other.cast("string")), 256)
 
 
 def number(digest: Column, at: Column | int, n: int) -> Column:
@@ -71,7 +72,7 @@ def shifted(half: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), one), "")
 
 
-def feistel_text(value: Column, key: str, kind: str) -> Column:
+def feistel_text(value: Column, key: Column, kind: str) -> Column:
     """A permutation of the strings with the same pattern of letters, digits and marks."""
     n = F.length(value)
     left, right = value.substr(F.lit(1), (n / 2).cast("int")), value.substr((n / 2).cast("int") + 1, n)
@@ -80,7 +81,7 @@ def feistel_text(value: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, k: let(s, lambda t: step(t, k)), lambda s: F.concat(s["l"], s["r"]))
 
 
-def feistel_pair(x: Column, y: Column, a: int, b: int, key: str, kind: str) -> Column:
+def feistel_pair(x: Column, y: Column, a: int, b: int, key: Column, kind: str) -> Column:
     """A permutation of the pairs below a and b: a structure of x and y."""
     start = F.struct(whole(x).alias("x"), whole(y).alias("y"))
 
@@ -107,11 +108,11 @@ def remainder97(iban: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: (s * F.when(x > 9, 100).otherwise(10) + x) % 97)
 
 
-def email(m: Column, key: str) -> Column:
+def email(m: Column, key: Column) -> Column:
     return F.concat(feistel_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
 
-def iban(m: Column, key: str) -> Column:
+def iban(m: Column, key: Column) -> Column:
     def rebuilt(account):
         zero = F.concat(F.substring(m, 1, 2), F.lit("00"), account)
         return let(zero, lambda z: F.concat(F.substring(m, 1, 2), F.lpad((98 - remainder97(z)).cast("string"), 2, "0"), account))
@@ -119,7 +120,7 @@ def iban(m: Column, key: str) -> Column:
     return F.when(remainder97(m) == 1, let(feistel_text(m.substr(F.lit(5), F.length(m)), key, "iban"), rebuilt))
 
 
-def date(m: Column, key: str) -> Column:
+def date(m: Column, key: Column) -> Column:
     def of(day: Column, pattern: str) -> Column:
         n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
         permuted = feistel_pair(n / DAYS[1], n % DAYS[1], *DAYS, key, "date")
@@ -137,7 +138,7 @@ def date(m: Column, key: str) -> Column:
     return found
 
 
-def ip(m: Column, key: str) -> Column:
+def ip(m: Column, key: Column) -> Column:
     parts = F.transform(F.split(m, r"\."), whole)
 
     def rebuilt(p):
@@ -147,25 +148,37 @@ def ip(m: Column, key: str) -> Column:
     return F.when(F.forall(parts, lambda x: x < 256), let(parts, rebuilt))
 
 
-def ssn(m: Column, key: str) -> Column:
+def ssn(m: Column, key: Column) -> Column:
     area, group, serial = F.substring(m, 1, 3), whole(F.substring(m, 5, 2)), whole(F.substring(m, 8, 4))
     moved = let(feistel_pair(group - 1, serial - 1, 99, 9999, key, "ssn"), lambda q: F.concat(area, F.lit("-"), F.lpad((q["x"] + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((q["y"] + 1).cast("string"), 4, "0")))
     return F.when(~area.isin("000", "666") & ~area.startswith("9") & (group > 0) & (serial > 0), moved)
 
 
-def phone(m: Column, key: str) -> Column:
+def phone(m: Column, key: Column) -> Column:
     parts = r"^(.*?)([1-9])([0-9]{2})([^0-9]{0,2})([2-9])([0-9]{2})([^0-9]?)([0-9]{4})$"
     g = lambda k: F.regexp_extract(m, parts, k)
     moved = feistel_text(F.concat(g(3), g(6), g(8)), key, "phone")
     return let(moved, lambda d: F.concat(g(1), g(2), F.substring(d, 1, 2), g(4), g(5), F.substring(d, 3, 2), g(7), F.substring(d, 5, 4)))
 
 
-def card(marked: Column, key: str) -> Column:
+def card(marked: Column, key: Column) -> Column:
     m = F.regexp_replace(marked, f"[{OPEN}{CLOSE}]", "")
     digits = F.regexp_replace(m, "[^0-9]", "")
-    body = F.concat(F.substring(m, 1, 1), feistel_text(m.substr(F.lit(2), F.length(m) - 2), key, "card"))
-    check = lambda b: F.pmod(10 - luhn(F.concat(F.regexp_replace(b, "[^0-9]", ""), F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(luhn(digits) == 0, let(body, lambda b: F.concat(b, check(b))))
+    body = F.concat(F.substring(digits, 1, 1), feistel_text(digits.substr(F.lit(2), F.length(digits) - 2), key, "card"))
+    check = lambda b: F.pmod(10 - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")
+    return F.when(luhn(digits) == 0, let(let(body, lambda b: F.concat(b, check(b))), lambda d: noted(d, m)))
+
+
+def noted(digits: Column, like: Column) -> Column:
+    """Digits with the marks that stand between those of `like`: a card has one pseudonym in every notation."""
+
+    def step(s, i):
+        c = like.substr(i, F.lit(1))
+        digit = c.between("0", "9")
+        return F.struct(F.concat(s["out"], F.when(digit, digits.substr(s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + digit.cast("int")).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(like)), start, lambda s, i: let(s, lambda t: step(t, i)), lambda s: s["out"])
 
 
 def marked_run(run: Column) -> Column:
@@ -213,8 +226,8 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def _found(key: str) -> Column:
-    """For each match of the text (in `_marked`): its kind, the match and its pseudonym (null if it is no valid value)."""
+def _found(marked: Column, key: Column) -> Column:
+    """For each match of the marked text: its kind, the match and its pseudonym (null if it is no valid value)."""
 
     def one(m):
         kind, made = kind_of(m), F.when(F.lit(False), F.lit(None).cast("string"))
@@ -222,23 +235,39 @@ def _found(key: str) -> Column:
             made = made.when(kind == name, f(m, key))
         return F.struct(kind.alias("kind"), m.alias("was"), made.alias("now"))
 
-    return F.transform(F.regexp_extract_all("_marked", F.lit(ANY), F.lit(0)), one)
+    return F.transform(F.regexp_extract_all(marked, F.lit(ANY), F.lit(0)), one)
 
 
-def _text(found: Column) -> Column:
+def _text(marked: Column, found: Column, text: Column) -> Column:
     now = F.transform(found, lambda x: F.coalesce(x["now"], x["was"]))
-    return F.when(F.size(found) > 0, F.array_join(F.zip_with(F.split("_marked", ANY, -1), now, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
+    return F.when(F.size(found) > 0, F.array_join(F.zip_with(F.split(marked, ANY, -1), now, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(text)
+
+
+def with_key(docs: DataFrame, key: DataFrame, name: str) -> DataFrame:
+    """docs with the key in a column: the key's table has one row, so it is broadcast, and no plan or log shows it."""
+    one = key.agg(F.max(F.col(f"`{key.columns[0]}`").cast("string")).alias(name))
+    given = one.select(F.when(F.length(name) > 0, F.col(name)).otherwise(F.raise_error(F.lit("pseudonyms need a key"))).alias(name))
+    return docs.crossJoin(F.broadcast(given))
 
 
-def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
-    """doc_id, a count for each kind, n_found, and the pseudonymised text."""
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", with_cards_marked(F.col("text")).alias("_marked"))
-    found = marked.withColumn("found", _found(key))
+def pseudonyms(docs: DataFrame, key: DataFrame) -> DataFrame:
+    """doc_id, a count for each kind, n_found, and the pseudonymised text; key: a table of one row and column."""
+    marked = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", with_cards_marked(F.col("text")).alias("marked")), key, "key")
+    found = marked.withColumn("found", _found(F.col("marked"), F.col("key")))
     count = lambda kind: F.coalesce(F.size(F.filter("found", lambda x: (x["kind"] == kind) & x["now"].isNotNull())), F.lit(0)).cast("long")
-    counted = found.select("doc_id", *(F.when(F.col("text").isNull(), F.lit(0)).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS), _text(F.col("found")).alias("text"))
+    counted = found.select("doc_id", *(F.when(F.col("text").isNull(), F.lit(0)).otherwise(count(k)).cast("long").alias(f"n_{k}") for k in KINDS), _text(F.col("marked"), F.col("found"), F.col("text")).alias("text"))
     return counted.withColumn("n_found", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)))
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: DataFrame) -> DataFrame:
     """All rows and columns of docs, with the pseudonymised text."""
-    return docs.withColumn("_marked", with_cards_marked(F.col("text"))).withColumn("_found", _found(key)).withColumn("text", _text(F.col("_found"))).select(*docs.columns)
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("marked", "found", "key"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+        taken.add(name)
+    marked, found, own = names
+    out = with_key(docs.withColumn(marked, with_cards_marked(F.col("text"))), key, own)
+    out = out.withColumn(found, _found(F.col(marked), F.col(own)))
+    return out.withColumn("text", _text(F.col(marked), F.col(found), F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])

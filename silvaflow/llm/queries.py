@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, langid, ngram_join, pii, secret_scan, topk, toxicity, trie_bpe
-from .common import table, tokenizer_path
+from .common import table, tokenizer_path, written
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
 
@@ -45,7 +45,10 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(table(spark, sf_dir, "documents"), os.environ.get("SILVAFLOW_PII_KEY", "an example key"))
+    """The key is the text at SILVAFLOW_PII_KEY_FILE, a path that Spark reads; without it these invented data get an example key."""
+    path = os.environ.get("SILVAFLOW_PII_KEY_FILE")
+    key = spark.read.text(path, wholetext=True) if path else written(spark.createDataFrame([("an example key",)], "key string"), "example-key")
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), key)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

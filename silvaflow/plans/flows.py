@@ -25,12 +25,13 @@ def training_table(segs: DataFrame, layers: Mapping[str, DataFrame], origin: tup
     return kept
 
 
-def tile_map(train: DataFrame, pixels: DataFrame, features: Sequence[str], label: str, iterations: int = 3, trees: int = 50, tolerance: float = 0.05, most: int = 12) -> DataFrame:
-    """Mean and deviation of each pixel's prediction over forests, more of them until tile totals settle.
+def tile_map(train: DataFrame, pixels: DataFrame, features: Sequence[str], label: str, iterations: int = 3, trees: int = 50, tolerance: float = 0.05, most: int = 100) -> DataFrame:
+    """Mean, deviation and percentiles of each pixel's prediction over forests, more of them until totals settle.
 
-    Each forest learns from its own sample; the loop on the driver sees one total an iteration.
+    Each forest learns from its own sample of the training table, which is kept; the loop on the driver sees one
+    total an iteration, and at least ten of them are needed before they can have settled.
     """
-    models, totals = [], []
+    models, totals, train = [], [], train.persist()
     while len(models) < most:
         k = len(models)
         sample = windows.hash_fraction(train, [label, *features], 0.7, seed=k)
@@ -39,8 +40,9 @@ def tile_map(train: DataFrame, pixels: DataFrame, features: Sequence[str], label
         sds = [0.0 if i < 2 else float(spread(totals[: i + 1])) for i in range(len(totals))]
         if len(models) >= iterations and windows.converged(sds, tolerance):
             break
+    train.unpersist()
     key = [c for c in ("tile_num", "row", "col") if c in pixels.columns]
-    return model.applied(models, pixels, features).groupBy(*key).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("p5_p95"))
+    return stats.over_iterations(model.applied(models, pixels, features), key, "value")
 
 
 def spread(x: Sequence[float]) -> float:

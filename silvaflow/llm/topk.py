@@ -7,8 +7,8 @@ left| is below its k-th best score; inside a block, the inner product over the f
 plus the product of the lengths of what is left (Cauchy-Schwarz) bounds each score, and only
 vectors whose bound reaches the k-th best are scored, in exact integers.
 
-Two passes spread the work: the first scores each block of queries against the blocks of longest
-vectors, to give each query a k-th best to begin with; the second sends a query only to the blocks
+Two passes spread the work: the first scores each block of queries against the block of longest
+vectors, which every task gets, to give each query a k-th best to begin with; the second sends a query only to the blocks
 that its bound reaches, so what is shuffled is a block of queries for each such block. Neither
 queries nor candidates are collected; only the d x d sum of outer products, the list of blocks and
 their lengths are (both far smaller than the vectors).
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 
 K = 5
 BLOCK_ROWS = 4096
@@ -64,7 +64,7 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
             total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array(list(total))], names=["i", "row"])
 
-    sums = vectors.select("v").mapInArrow(outer, "i long, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    sums = vectors.select("v").mapInArrow(tidied(outer), "i long, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
     total = np.zeros((d, d))
     for r in sums.collect():
         total[r.i, r.j] = r.x
@@ -154,7 +154,7 @@ def top_k(embeddings: DataFrame, query: str = "id % 50 = 0", k: int = K, scale:
             if ids:
                 yield out(ids, found, norms)
 
-        return ordered.select("id", "v", "norm2").mapInArrow(gather, "block long, ids binary, vectors binary, norm2 double, n long")
+        return ordered.select("id", "v", "norm2").mapInArrow(tidied(gather), "block long, ids binary, vectors binary, norm2 double, n long")
 
     def unpack(ids, found):
         return np.frombuffer(ids, "<i8"), np.frombuffer(found, "<f8").reshape(-1, d)
@@ -181,22 +181,24 @@ def top_k(embeddings: DataFrame, query: str = "id % 50 = 0", k: int = K, scale:
 
     def run(pairs: DataFrame) -> DataFrame:
         right = candidates.select(F.col("block").alias("target"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-        return pairs.join(right, "target").select("ids", "vectors", "floors", "c_ids", "c_vectors").mapInArrow(search, "query_id long, vec_id long, score long")
+        return pairs.join(right, "target").select("ids", "vectors", "floors", "c_ids", "c_vectors").mapInArrow(tidied(search), "query_id long, vec_id long, score long")
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def best(rows: DataFrame) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
-    def first_pairs(batches):
+    # the head, HEAD_BLOCKS blocks of block_rows vectors at most, goes to every task of queries
+    top = spark.sparkContext.broadcast([(r["ids"], r["vectors"]) for r in candidates.filter(F.col("block").isin([x[1] for x in lengths[:HEAD_BLOCKS]])).collect()])
+
+    def first(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                n = len(r["ids"]) // 8
-                low = np.full(n, -np.inf).tobytes()
-                for b in reach.value[1][:HEAD_BLOCKS]:
-                    yield pa.RecordBatch.from_pylist([{"target": b, "ids": r["ids"], "vectors": r["vectors"], "floors": low}], pa.schema([("target", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("floors", pa.binary())]))
+                low = np.full(len(r["ids"]) // 8, -np.inf).tobytes()
+                for ids, found in top.value:
+                    yield from search([pa.RecordBatch.from_pylist([r | {"floors": low, "c_ids": ids, "c_vectors": found}])])
 
-    head = written(best(run(queries.select("ids", "vectors").mapInArrow(first_pairs, pairs_schema))), "head")
+    head = written(best(queries.select("ids", "vectors").mapInArrow(tidied(first), "query_id long, vec_id long, score long")), "head")
     floors = head.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     known = asked.join(floors.groupBy("id").agg(F.min("floor").alias("floor")), "id", "left").select("id", "v", F.coalesce("floor", F.lit(float("-inf"))).cast("double").alias("floor"), "norm2")
 
@@ -213,7 +215,7 @@ def top_k(embeddings: DataFrame, query: str = "id % 50 = 0", k: int = K, scale:
                     if ok.any():
                         yield pa.RecordBatch.from_pylist([{"target": b, "ids": ids[ok].tobytes(), "vectors": q[ok].astype("<f8").tobytes(), "floors": floor[ok].astype("<f8").tobytes()}], pa.schema([("target", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("floors", pa.binary())]))
 
-    rest = run(known.select("id", "v", "floor").mapInArrow(more_pairs, pairs_schema))
+    rest = run(known.select("id", "v", "floor").mapInArrow(tidied(more_pairs), pairs_schema))
     return best(head.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -217,15 +217,19 @@ def _albers() -> tuple[float, float, float, float, float]:
 
 
 def to_albers(lon: Column, lat: Column) -> dict[str, Column]:
-    n, c, rho0, r, lon0 = _albers()
-    turn = F.pmod(F.radians(lon) - lon0 + math.pi, F.lit(2 * math.pi)) - math.pi
+    n, c, rho0, r, _ = _albers()
+    west = ALBERS["lon0"] - 180.0
+    turn = F.radians(lon - (ALBERS["lon0"] + 360.0 * F.floor((lon - west) / 360.0)))  # whole turns go in degrees, which keeps all digits
     rho = r * F.sqrt(c - 2 * n * F.sin(F.radians(lat))) / n
     return {"x": rho * F.sin(n * turn), "y": rho0 - rho * F.cos(n * turn)}
 
 
-def from_albers(x: Column, y: Column) -> dict[str, Column]:
+def from_albers(x: Column, y: Column, near: Column | None = None) -> dict[str, Column]:
+    """Longitude and latitude; the longitude between -180 and 180, or less than half a turn from `near`."""
     n, c, rho0, r, lon0 = _albers()
     rho2 = x * x + (rho0 - y) * (rho0 - y)
     turn = F.atan2(x, rho0 - y) / n
     lon = F.degrees(F.pmod(turn + lon0 + math.pi, F.lit(2 * math.pi)) - math.pi)
+    if near is not None:
+        lon = lon + 360.0 * F.rint((near - lon) / 360.0)
     return {"lon": lon, "lat": F.degrees(F.asin((c - rho2 * n * n / (r * r)) / (2 * n)))}

@@ -148,6 +148,23 @@ def test_projection_round_trip(spark):
         assert (r.lon2, r.lat2) == pytest.approx((r.lon, r.lat), abs=1e-8)
 
 
+def test_projected_points_keep_their_turn_and_ties(spark, tmp_path):
+    import os
+
+    from parity import TABLES, compare
+
+    from silvaflow.plans import registry
+
+    for t in TABLES:
+        os.symlink(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    os.remove(tmp_path / "embeddings.parquet")
+    x = [0.52936387, -0.51518393, 0.45, -0.45, 39.55078125 / 400, -21.38671875 / 400, 0.0]
+    rows = [(k, [v, 0.1 + k / 64, 0.5], 1) for k, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "written"))
+    os.rename(next((tmp_path / "written").glob("*.parquet")), tmp_path / "embeddings.parquet")
+    compare(spark, registry.queries()["projected_points"], registry.oracle_sql()["projected_points"], str(tmp_path))
+
+
 def test_shapes(spark):
     ring = [{"x": float(x), "y": float(y)} for x, y in ((0, 0), (4, 0), (4, 2), (0, 2), (0, 0))]
     df = spark.createDataFrame([(ring,)], "ring array<struct<x:double,y:double>>")

@@ -45,15 +45,20 @@ def draws(df: DataFrame, n: int) -> DataFrame:
 PRIME, BY_KEY, BY_DRAW, BY_STREAM = 2_147_483_647, 48_271, 69_621, 16_807
 
 
-def uniform(key: Sequence[Column], sim: Column, stream: int) -> Column:
-    """A number between 0 and 1 from whole-number keys, a draw's number and a stream.
+def seed_of(key: Sequence[Column]) -> Column:
+    """A number below PRIME from whole-number keys."""
+    seed = F.lit(0).cast("long")
+    for k in key:
+        seed = (seed * 31 + F.pmod(k.cast("long"), F.lit(PRIME))) % PRIME
+    return seed
+
+
+def uniform(seed: Column, sim: Column, stream: int) -> Column:
+    """A number between 0 and 1 from seed_of() a key, a draw's number and a stream.
 
     Squares and products modulo a prime: the same whatever the partitions and reruns, and in any engine
     with 64-bit integers.
     """
-    seed = F.lit(0).cast("long")
-    for k in key:
-        seed = (seed * 31 + F.pmod(k.cast("long"), F.lit(PRIME))) % PRIME
     draw = sim.cast("long")
     x = (seed * BY_KEY + draw * BY_DRAW + stream * BY_STREAM + 1) % PRIME
     x = (x * x + seed) % PRIME
@@ -64,18 +69,34 @@ def uniform(key: Sequence[Column], sim: Column, stream: int) -> Column:
 
 def hashed_normal(key: Sequence[Column], sim: Column, stream: int = 0) -> Column:
     """A standard normal number for each key and draw (Box and Muller)."""
-    return F.sqrt(-2 * F.log(uniform(key, sim, 2 * stream + 1))) * F.cos(2 * math.pi * uniform(key, sim, 2 * stream + 2))
+    return seeded_normal(seed_of(key), sim, stream)
+
+
+def seeded_normal(seed: Column, sim: Column, stream: int = 0) -> Column:
+    """hashed_normal() of a key whose seed_of() is known, so that it is worked out once for all draws."""
+    return F.sqrt(-2 * F.log(uniform(seed, sim, 2 * stream + 1))) * F.cos(2 * math.pi * uniform(seed, sim, 2 * stream + 2))
+
+
+#: Draws of a pixel that a row of simulated_totals() sums side by side; parts that a group's pixels are dealt to; tasks a core.
+SIDE_BY_SIDE, SPREAD, WAVES = 8, 16, 4
 
 
 def simulated_totals(df: DataFrame, by: Sequence[str], key: Sequence[str], mean: str, sd: str, factor: float, n: int = 1000, truncate: bool = True) -> DataFrame:
     """Totals of n draws by group: mean, population sd, percentile bounds, quartile range, cv, uncertainty (%).
 
-    key: whole numbers that tell pixels apart. Draws are summed by group and draw before the shuffle, so n rows
-    a group leave each task.
+    key: whole numbers that tell pixels apart. Pixels are dealt out by group, a group's to several tasks, and a
+    task sums its draws, SIDE_BY_SIDE in a row, so few rows meet in the second shuffle however large a group is.
     """
-    value = F.col(mean) + F.col(sd) * hashed_normal([F.col(k) for k in key], F.col("sim"))
-    value = F.greatest(value, F.lit(0.0)) if truncate else value
-    sums = draws(df.select(*dict.fromkeys([*by, *key, mean, sd])), n).groupBy(*by, "sim").agg(F.sum(value * factor).alias("t"))
+
+    def value(k: int) -> Column:
+        drawn = F.col(mean) + F.col(sd) * seeded_normal(F.col("_seed"), F.col("_block") * SIDE_BY_SIDE + (k + 1))
+        return (F.greatest(drawn, F.lit(0.0)) if truncate else drawn) * factor
+
+    tasks = WAVES * df.sparkSession.sparkContext.defaultParallelism
+    pixels = df.select(*dict.fromkeys([*by, mean, sd]), seed_of([F.col(k) for k in key]).alias("_seed")).repartition(tasks, *by, F.pmod(F.xxhash64("_seed"), F.lit(SPREAD)))
+    blocks = pixels.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // SIDE_BY_SIDE).cast("long"))))
+    sums = blocks.groupBy(*by, "_block").agg(*[F.sum(value(k)).alias(f"_t{k}") for k in range(SIDE_BY_SIDE)])
+    sums = sums.select(*by, "_block", F.posexplode(F.array(*[f"_t{k}" for k in range(SIDE_BY_SIDE)])).alias("_k", "t")).filter(F.col("_block") * SIDE_BY_SIDE + F.col("_k") < n)
     q = F.percentile("t", F.array(*[F.lit(x) for x in (0.025, 0.25, 0.5, 0.75, 0.975)]))  # of n totals
     out = sums.groupBy(*by).agg(F.avg("t").alias("mean"), F.stddev_pop("t").alias("sd"), q.alias("q"), F.count("*").alias("n_draws"))
     half = (F.col("q")[4] - F.col("q")[0]) / 2

@@ -119,3 +119,18 @@ def test_correlation_test(spark):
     r = {x.feature: x for x in model.correlations(df, ["a", "b"], "y").collect()}
     assert r["a"].p < 1e-10 < 0.05 < r["b"].p and r["a"].n == 20
     assert r["b"].p == pytest.approx(student.two_sided(abs(r["b"].t), 18))
+
+
+def test_simulated_totals_are_dealt_out_and_whole(spark):
+    rows = [(k % 3, k, 10.0 + k, 4.0) for k in range(50)] + [(3, 50, None, 1.0), (3, 51, 5.0, None), (None, 52, 5.0, 0.0)]
+    df = spark.createDataFrame(rows, "g int, k int, m double, s double").coalesce(1)
+    out = uncertainty.simulated_totals(df, ["g"], ["k"], "m", "s", 2.0, n=13)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()  # a file of one piece isn't one task
+    got = {r.g: r for r in out.collect()}
+    value = F.greatest(F.col("m") + F.col("s") * uncertainty.hashed_normal([F.col("k")], F.col("sim")), F.lit(0.0)) * 2.0
+    totals = uncertainty.draws(df, 13).groupBy("g", "sim").agg(F.sum(value).alias("t")).collect()
+    for g, r in got.items():
+        t = [x.t for x in totals if x.g == g]
+        assert r.n_draws == len(t) == 13
+        assert (r["mean"], r.sd, r.low, r.high) == pytest.approx((np.mean(t), np.std(t), np.quantile(t, 0.025), np.quantile(t, 0.975)), rel=1e-12)
+    assert len(got) == 5

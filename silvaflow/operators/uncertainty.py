@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,20 @@ def seeded_normal(seed: Column, sim: Column, stream: int = 0) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, sim, 2 * stream + 1))) * F.cos(2 * math.pi * uniform(seed, sim, 2 * stream + 2))
 
 
+def _uniforms(seed: np.ndarray, draw: int, stream: int) -> np.ndarray:
+    """uniform() of an array of seeds."""
+    x = (seed * BY_KEY + (draw * BY_DRAW + stream * BY_STREAM + 1)) % PRIME
+    x = (x * x + seed) % PRIME
+    x = (x * BY_KEY + draw) % PRIME
+    x = (x * x + stream) % PRIME
+    return (x + 0.5) / float(PRIME)
+
+
+def normals(seed: np.ndarray, draw: int, stream: int = 0) -> np.ndarray:
+    """seeded_normal() of an array of seeds."""
+    return np.sqrt(-2 * np.log(_uniforms(seed, draw, 2 * stream + 1))) * np.cos(2 * math.pi * _uniforms(seed, draw, 2 * stream + 2))
+
+
 #: Draws of a pixel that a row of simulated_totals() sums side by side; parts that a group's pixels are dealt to; tasks a core.
 SIDE_BY_SIDE, SPREAD, WAVES = 8, 16, 4
 
@@ -117,12 +133,35 @@ def class_sums(totals: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
     return totals.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns])
 
 
+#: Pixels whose draws are worked on at a time.
+AT_ONCE = 4096
+
+
+def _moments(n: int):
+    """An Arrow function of seed, mean and deviation: mean and population deviation of n draws; null where any of the three is."""
+
+    @F.arrow_udf("sim_mean double, sim_sd double")
+    def run(seed: pa.Array, mean: pa.Array, sd: pa.Array) -> pa.Array:
+        missing = np.zeros(len(seed), bool)
+        for x in (seed, mean, sd):
+            missing |= x.is_null().to_numpy(zero_copy_only=False)
+        seeds, means, sds = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (seed, mean, sd))
+        average, deviation = np.empty(len(seed)), np.empty(len(seed))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for a in range(0, len(seed), AT_ONCE):
+                part = slice(a, a + AT_ONCE)
+                drawn = [means[part] + sds[part] * normals(seeds[part], k) for k in range(1, n + 1)]
+                average[part] = sum(drawn) / n
+                deviation[part] = np.sqrt(sum((d - average[part]) ** 2 for d in drawn) / n)
+        return pa.StructArray.from_arrays([pa.array(average, mask=missing), pa.array(deviation, mask=missing)], names=["sim_mean", "sim_sd"])
+
+    return run
+
+
 def two_band(df: DataFrame, key: Sequence[str], mean: str, sd: str, n: int = 50) -> DataFrame:
-    """Each pixel's mean and deviation over n draws, with t-based bounds of the mean and of an observation. Draws stay within the row."""
-    sims = F.sequence(F.lit(1), F.lit(n))
-    out = df.withColumn("_d", F.transform(sims, lambda k: F.col(mean) + F.col(sd) * hashed_normal([F.col(c) for c in key], k)))
-    m = _total(F.col("_d")) / n
-    out = out.withColumn("sim_mean", m).withColumn("sim_sd", F.sqrt(_squares(F.col("_d"), F.col("sim_mean")) / n)).drop("_d")
+    """Each pixel's mean and deviation over n draws, with t-based bounds of the mean and of an observation. Draws stay within an array of pixels."""
+    out = df.withColumn("_m", _moments(n)(seed_of([F.col(k) for k in key]), F.col(mean).cast("double"), F.col(sd).cast("double")))
+    out = out.withColumns({c: F.col("_m")[c] for c in ("sim_mean", "sim_sd")}).drop("_m")
     t, sem = quantile(n - 1), F.col("sim_sd") / math.sqrt(n)
     wide = F.sqrt(F.col(sd) * F.col(sd) + sem * sem)
     return out.withColumns({"ci_low": F.col("sim_mean") - t * sem, "ci_high": F.col("sim_mean") + t * sem, "pi_low": F.col("sim_mean") - t * wide, "pi_high": F.col("sim_mean") + t * wide})

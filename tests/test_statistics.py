@@ -134,3 +134,21 @@ def test_simulated_totals_are_dealt_out_and_whole(spark):
         assert r.n_draws == len(t) == 13
         assert (r["mean"], r.sd, r.low, r.high) == pytest.approx((np.mean(t), np.std(t), np.quantile(t, 0.025), np.quantile(t, 0.975)), rel=1e-12)
     assert len(got) == 5
+
+
+def test_two_band_of_many_pixels_and_nulls(spark):
+    import time
+
+    rows = [(k, 10.0 + k, 4.0) for k in range(5)] + [(5, None, 1.0), (6, 5.0, None), (None, 5.0, 1.0), (7, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "k int, m double, s double")
+    got = {r.k: r for r in uncertainty.two_band(df, ["k"], "m", "s", n=13).collect()}
+    drawn = uncertainty.draws(df, 13).withColumn("v", F.col("m") + F.col("s") * uncertainty.hashed_normal([F.col("k")], F.col("sim"))).collect()
+    for k in range(5):
+        v = [x.v for x in drawn if x.k == k]
+        assert (got[k].sim_mean, got[k].sim_sd) == pytest.approx((np.mean(v), np.std(v)), rel=1e-9)
+    assert all(got[k].sim_mean is None and got[k].pi_high is None for k in (5, 6, None)) and math.isnan(got[7].sim_mean)
+    assert uncertainty.two_band(df.limit(0), ["k"], "m", "s").count() == 0
+    many = spark.range(0, 400_000, 1, 1).select(F.col("id").alias("k"), F.lit(50.0).alias("m"), F.lit(2.0).alias("s"))
+    began = time.time()
+    uncertainty.two_band(many, ["k"], "m", "s").write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 15  # twenty million draws in one task: too many for lambdas

@@ -136,29 +136,84 @@ def load(spark, kind, path: str):
     return kind.load(f"{path}/model"), spark.read.parquet(f"{path}/accuracy")
 
 
+#: Known rows of a leaf and wanted rows of a block in nearest(); tasks a core that it deals the latter to.
+LEAF, SEEKERS, WAVES = 128, 64, 4
+
+
+def halved(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the rows of x, cut at medians of the widest feature into pieces of at most `most` rows."""
+    out, stack = [], [np.arange(len(x))]
+    while stack:
+        at = stack.pop()
+        if len(at) <= most:
+            out.append(at)
+            continue
+        by = x[at][:, np.argmax(np.ptp(x[at], axis=0))]
+        order = np.argpartition(by, len(at) // 2)
+        stack += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return out
+
+
+class Known:
+    """Rows (features x, label y) in leaves with their boxes, of rows with equal features those of the k smallest labels: no other can be among the k nearest."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, k: int):
+        order = np.lexsort((y, *x.T))
+        x, y, self.k = x[order], y[order], k
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)]))
+        place = np.arange(len(x)) - np.repeat(first, np.diff(np.concatenate([first, [len(x)]])))
+        x, y = x[place < k], y[place < k]
+        self.least = np.sort(y)[:k]
+        self.leaves = [(x[at], y[at]) for at in halved(x, LEAF)]
+        self.low, self.high = (np.array([f(p, axis=0) for p, _ in self.leaves]) for f in (np.min, np.max))
+
+    def predicted(self, z: np.ndarray) -> np.ndarray:
+        """The mean label of the k rows nearest to each of z; rows without a distance are all as near."""
+        out = np.full(len(z), self.least.mean())
+        known = np.flatnonzero(np.isfinite(z).all(axis=1))
+        for block in halved(z[known], SEEKERS) if len(known) else ():
+            out[known[block]] = self._block(z[known[block]])
+        return out
+
+    def _block(self, z: np.ndarray) -> np.ndarray:
+        away = np.maximum(0, np.maximum(self.low - z.max(axis=0), z.min(axis=0) - self.high))
+        bound = (away**2).sum(axis=1)
+        order, at, step = np.argsort(bound), 0, 1
+        far, labels = np.empty((len(z), 0)), np.empty((len(z), 0))
+        while at < len(order):
+            # distances are rounded, so a leaf goes only if it is farther by more than that
+            if far.shape[1] == self.k and (bound[order[at]] > far[:, -1] * (1 + 1e-12) + 2e-9).all():
+                break
+            x, y = (np.concatenate(c) for c in zip(*(self.leaves[i] for i in order[at : at + step])))
+            new = ((z[:, None, :] - x[None, :, :]) ** 2).sum(axis=2).round(9)
+            far, labels = np.concatenate([far, new], axis=1), np.concatenate([labels, np.broadcast_to(y, new.shape)], axis=1)
+            best = np.lexsort((labels, far), axis=1)[:, : self.k]
+            far, labels = np.take_along_axis(far, best, 1), np.take_along_axis(labels, best, 1)
+            at, step = at + step, min(2 * step, 8)
+        return labels.mean(axis=1)
+
+
 def nearest(train: DataFrame, rows: DataFrame, ident: str, features: Sequence[str], label: str, k: int = 5) -> DataFrame:
     """The mean label of the k training rows nearest in robustly scaled features (ties to nine digits of the squared distance go to the smaller label).
 
-    train: a sample that fits a task, as forests take it; rows stay distributed and meet it as a broadcast array.
+    train: a sample that fits a task, as forests take it; rows stay distributed and meet it as a broadcast tree of
+    leaves, of which a block of neighbouring rows reads those that its distances can't rule out.
     """
     some = [F.col(f).cast("double").alias(f) for f in features]
-    known = train.select(*some, F.col(label).cast("double").alias(label)).na.drop().toPandas()
-    x, y = known[list(features)].to_numpy(), known[label].to_numpy()
+    known = train.select(*some, F.col(label).cast("double").alias(label)).na.drop().toArrow()
+    x, y = np.stack([known.column(f).to_numpy() for f in features], axis=1), known.column(label).to_numpy()
     low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
     scale = np.where(high > low, high - low, 1.0)
-    shared = train.sparkSession.sparkContext.broadcast(((x - mid) / scale, y, mid, scale))
+    session = train.sparkSession.sparkContext
+    shared = session.broadcast((Known((x - mid) / scale, y, k), mid, scale))
 
     def run(batches):
-        base, labels, mid, scale = shared.value
+        tree, mid, scale = shared.value
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.iloc[a : a + 256]
-                z = (part[list(features)].to_numpy(float) - mid) / scale
-                far = ((z[:, None, :] - base[None, :, :]) ** 2).sum(axis=2).round(9)
-                order = np.lexsort((np.broadcast_to(labels, far.shape), far), axis=1)[:, :k]
-                yield part[[ident]].assign(prediction=labels[order].mean(axis=1))
-
-    return rows.select(ident, *some).mapInPandas(run, f"{ident} {dict(rows.dtypes)[ident]}, prediction double")
+            yield batch[[ident]].assign(prediction=tree.predicted((batch[list(features)].to_numpy(float) - mid) / scale))
+
+    dealt = rows.select(ident, *some).repartition(WAVES * session.defaultParallelism, ident)
+    return dealt.mapInPandas(run, f"{ident} {dict(rows.dtypes)[ident]}, prediction double")
 
 
 def randomly_searched(df: DataFrame, features: Sequence[str], label: str, tries: int = 4, depths: tuple[int, int] = (2, 8), trees: tuple[int, int] = (5, 30), k: int = 3, seed: int = 1):

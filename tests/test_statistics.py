@@ -152,3 +152,26 @@ def test_two_band_of_many_pixels_and_nulls(spark):
     began = time.time()
     uncertainty.two_band(many, ["k"], "m", "s").write.format("noop").mode("overwrite").save()
     assert time.time() - began < 15  # twenty million draws in one task: too many for lambdas
+
+
+def test_nearest_equals_brute_force(spark):
+    import time
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(3000, 3)).round(1), rng.integers(0, 50, 3000).astype(float)
+    z = rng.normal(size=(300, 3)) * 1.5
+    z[0] = np.nan
+    train = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)] + [(None, 1.0, 1.0, -9.0), (1.0, 1.0, 1.0, None)], "a double, b double, c double, y double")
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(z)], "id long, a double, b double, c double")
+    got = {r.id: r.prediction for r in model.nearest(train, rows, "id", ["a", "b", "c"], "y", k=4).collect()}
+    low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    far = ((((z - mid) / (high - low))[:, None] - ((x - mid) / (high - low))[None]) ** 2).sum(axis=2).round(9)
+    for i in range(300):
+        assert got[i] == pytest.approx(y[np.lexsort((y, far[i]))[:4]].mean(), rel=1e-12)
+    few = model.nearest(train.limit(2), rows.limit(3), "id", ["a", "b", "c"], "y", k=4).collect()
+    assert len(few) == 3 and len({r.prediction for r in few}) == 1
+    assert model.nearest(train, rows.limit(0), "id", ["a", "b", "c"], "y").count() == 0
+    many = spark.range(60_000).select("id", *[F.randn(k).alias(c) for k, c in enumerate("abcy")])
+    began = time.time()
+    model.nearest(many, many.filter("id % 2 = 0"), "id", ["a", "b"], "y").write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 20  # of 1.8 billion pairs few are looked at

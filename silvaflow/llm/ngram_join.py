@@ -9,7 +9,10 @@ link when 100 * intersection >= 80 * union.
    dealt by hash to more cells than that, so some cell holds the same shingles in both (pigeonhole).
    Cells depend on the size band of the larger set; a set enters its own band and, if a partner of
    at most 1.25 times its size can lie there, the next. Cells that are empty in a set are left out
-   unless so many are that every other cell might differ. Sets that share a cell may be linked; the
+   unless so many are that every other cell might differ. Of the cells of which t at least are the same in
+   any partner's set, t - 1 needn't be dealt: in an order of all cells, the first shared one of two linked
+   sets comes before either's last t - 1 (prefix filter). Cells met by many tasks come last in that order,
+   so common passages don't chain unlike sets together. Sets that share a cell may be linked; the
    connected components of that relation are the groups to compare. A task first folds equal cells
    of its own rows into one row and a few links, so a very frequent cell is one row from each task.
 3. Signature trees. Each group's sets are the leaves of a tree, ordered by their smallest hashes; a
@@ -53,6 +56,8 @@ FOLD_ROWS, PART_SHINGLES, KEY_BYTES = 1_000_000, 1_000_000, 7
 #: Pairs of a block from which on it is compared by a matrix product, and the most shared shingles for that.
 MANY, WIDE = 16, 65_536
 LOW_BITS, MARK = np.uint64(127), np.uint64(64)
+#: Rows of a cell, one from each fold of a task, from which on it counts as frequent.
+FREQUENT = 4
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -156,6 +161,21 @@ def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1].astype(np.int64) + base
 
 
+def cell_hashes(keys: np.ndarray) -> np.ndarray:
+    """64-bit hashes of cells by what pack_rows() keeps of their keys, the mark aside."""
+    return mix(keys & np.uint64((1 << 8 * KEY_BYTES) - 1) & ~MARK).view(np.int64)
+
+
+def firsts(keys: np.ndarray, sums: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which cells of dealt() are to go out: of each set and band all but the last of those that must be shared less one, frequent ones last."""
+    sizes, owner = sums[:, 3], np.repeat(np.arange(len(sums)), sums[:, 3])
+    order = np.lexsort((keys, frequent, owner))
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.empty(len(keys), bool)
+    out[order] = place <= (sizes - np.maximum(sums[:, 2], 1))[owner]
+    return out
+
+
 def enough(common, a, b):
     return 100 * common >= 80 * (a + b - common)
 
@@ -306,8 +326,8 @@ def tallied(ids: np.ndarray, bands: np.ndarray, counts: np.ndarray | int) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(delta)], names=["id", "band", "delta"])
 
 
-def _sharing(docs: DataFrame, bits: int) -> DataFrame:
-    """Ids of documents of which enough cells occur elsewhere: the others have no link.
+def _sharing(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Ids of documents of which enough cells occur elsewhere: the others have no link. And hashes h of frequent cells.
 
     A sum for each document and band starts at minus the number of cells that must be shared and
     rises by one for each that is. A task folds equal cells of its rows into one marked row.
@@ -330,13 +350,18 @@ def _sharing(docs: DataFrame, bits: int) -> DataFrame:
                 new = many & ((keys & MARK) == 0)
                 if new.any():
                     yield tallied(ids[new], keys[new] & np.uint64(63), 1)
+                own, counts = np.unique(keys[many] & ~MARK, return_counts=True)
+                often = cell_hashes(own[counts >= FREQUENT])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (often, np.full(len(often), -1), np.zeros(len(often), np.int64))], names=["id", "band", "delta"])
 
     rows = texts(docs.filter(F.col("doc_id").isNotNull())).mapInArrow(tidied(deal), "part int, rows binary, passed binary").repartition("part").mapInArrow(tidied(meet), "id long, band long, delta long")
-    return rows.groupBy("id", "band").agg(F.sum("delta").alias("delta")).filter("delta >= 0").select("id").distinct()
+    rows = written(rows, "shared-counts")
+    sums = rows.filter("band >= 0").groupBy("id", "band").agg(F.sum("delta").alias("delta"))
+    return sums.filter("delta >= 0").select("id").distinct(), rows.filter("band < 0").select(F.col("id").alias("h"))
 
 
 def dealt(batches):
-    """(number, keys, ids, sums) of about FOLD_ROWS cells at a time; sums: rows (id, band, cells that must be shared)."""
+    """(number, keys, ids, sums) of about FOLD_ROWS cells at a time; sums: rows (id, band, cells that must be shared, cells) in the cells' order."""
     keys, ids, sums, total, k = [], [], [], 0, 0
     for batch in batches:
         for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -344,7 +369,7 @@ def dealt(batches):
             for band, need, own in cells(found) if len(found) else ():
                 keys.append(own)
                 ids.append(np.full(len(own), ident, np.int64))
-                sums.append((ident, band, need))
+                sums.append((ident, band, need, len(own)))
                 total += len(own)
             if total >= FOLD_ROWS:
                 yield k, np.concatenate(keys), np.concatenate(ids), np.array(sums, np.int64)
@@ -381,16 +406,21 @@ def _groups(docs: DataFrame, shingles_in_all: int) -> DataFrame:
     number grows with the data, so a part keeps its size.
     """
     bits = min(24, max(3, (shingles_in_all // PART_SHINGLES).bit_length()))
-    sharing = written(_sharing(docs, bits), "sharing")
-    shared = docs.sparkSession.sparkContext.broadcast(merged(sharing.select(F.xxhash64("id").alias("h")), sharing.count(), "once"))
+    sharing, often = _sharing(docs, bits)
+    sharing = written(sharing, "sharing")
+    send = docs.sparkSession.sparkContext.broadcast
+    shared = send(merged(sharing.select(F.xxhash64("id").alias("h")), sharing.count(), "once"))
+    frequent = send(merged(often, often.count(), "once"))
 
     def wanted(batches):
         for batch in batches:
             yield batch.filter(pa.array(probe(shared.value[0], batch.column(2).to_numpy(), shared.value[1])))
 
     def deal(batches):
-        for _, keys, ids, _ in dealt(wanted(batches)):
-            keys, ids, links = fold_equal(keys, ids)
+        for _, keys, ids, sums in dealt(wanted(batches)):
+            # any one order of cells will do, so a false alarm of the filter is harmless
+            out = firsts(keys, sums, probe(frequent.value[0], cell_hashes(keys), frequent.value[1]))
+            keys, ids, links = fold_equal(keys[out], ids[out])
             yield from packed(keys, ids, bits, np.concatenate([links, np.zeros((len(links), 1), np.int64)], axis=1))
 
     def meet(batches):

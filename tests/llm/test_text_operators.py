@@ -769,3 +769,19 @@ def test_components_against_union_find(spark, seed):
             parent[y] = x
     got = components.connected(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
     assert {r.id: r.component for r in got} == {x: root(x) for x in parent} and len(got) == len(parent)
+
+
+def test_common_passages_do_not_chain_groups(spark):
+    """Unlike texts with one passage in common, each with a near copy: groups stay small, and all links are found."""
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+        rows.append((2 * k, " ".join(words[:200] + passage + words[200:])))
+        rows.append((2 * k + 1, " ".join(words[:200] + passage + words[200:-1] + ["other"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    sizes = [r["count"] for r in ngram_join._groups(docs, 300_000).groupBy("component").count().collect()]
+    assert max(sizes) < 60  # of 600 texts
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {d: (d // 2 * 2, 1) for d in range(600)}

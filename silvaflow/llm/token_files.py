@@ -57,7 +57,7 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9):
     minima = full.min(axis=1) if n else np.empty(0, np.uint32)
     rest = full - minima[:, None]
     need, widths = int(np.ceil(percentile * block)), np.full(n, 32, np.uint8)
-    for w in range(31, -1, -1):  # the smallest width that holds enough of the block
+    for w in range(min(31, int(rest.max(initial=0)).bit_length()), -1, -1):  # the smallest width that holds enough of the block
         fits = (rest < np.uint32(1 << w)).sum(axis=1) >= need
         if not fits.any():
             break

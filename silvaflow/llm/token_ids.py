@@ -106,6 +106,8 @@ class Encoder:
             self.kind, self.pieces = "spaced", regex.compile(PATTERN)
         elif cut.get("type") == "Sequence" and [p.get("behavior") for p in cut["pretokenizers"]] == ["Removed", None] and cut["pretokenizers"][0].get("invert"):
             self.kind, self.pieces = "words", regex.compile(cut["pretokenizers"][0]["pattern"]["Regex"])
+        self.tokenize = self.library.model.tokenize  # the model comes as a new object each time it is asked for
+        self.marks = {mark: self._ids([mark]) for mark in ",."}
         self.chunks = Recent(self._words if self.kind == "words" else self._spaced, cap)
 
     def whole(self, text: str) -> bytes:
@@ -117,7 +119,7 @@ class Encoder:
         for piece in pieces:
             if not lettered and not (piece.isascii() and piece.isalpha()):
                 piece = piece.encode().decode("latin-1").translate(self.letters)
-            ids.extend([t.id for t in self.library.model.tokenize(piece)])
+            ids.extend([t.id for t in self.tokenize(piece)])
         return ids.tobytes()
 
     def _own(self, chunk: str) -> bytes:
@@ -136,6 +138,10 @@ class Encoder:
     def _words(self, chunk: str) -> bytes:
         if not chunk:
             return b""
+        # as _split and _ids do, in one step
+        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ",." else (chunk, "")
+        if word.isascii() and word.isalpha():
+            return self.chunks[word] + self.marks[mark] if mark else array("I", [t.id for t in self.tokenize(word.lower())]).tobytes()
         return self._ids(self._split(chunk.lower())) if plain(chunk) else self._own(chunk)
 
     def _spaced(self, chunk: str) -> bytes:

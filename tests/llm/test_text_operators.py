@@ -785,3 +785,23 @@ def test_common_passages_do_not_chain_groups(spark):
     assert max(sizes) < 60  # of 600 texts
     got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.near_duplicates(docs).collect()}
     assert got == {d: (d // 2 * 2, 1) for d in range(600)}
+
+
+def test_a_word_is_encoded_once_with_and_without_marks(monkeypatch):
+    from silvaflow.llm.token_ids import Encoder
+
+    coder, text, seen = Encoder(tokenizer_path("word_bpe_49k.json")), "qzword, Qzword. qzword qzword., a.b, straße. , . É.", []
+    tokenize = coder.tokenize
+    monkeypatch.setattr(coder, "tokenize", lambda piece: seen.append(piece) or tokenize(piece))
+    (ids,) = coder.encode([text])
+    assert ids.tolist() == coder.library.encode(text, add_special_tokens=False).ids
+    assert seen.count("qzword") <= 2  # alone, and once before two marks
+
+
+def test_block_widths_are_the_smallest():
+    for ids in ([0, 0, 0], [7] * 127 + [2**32 - 1], list(range(128)) * 2, [2**31, 2**32 - 1] * 64, []):
+        packed = token_files.pack_blocks(np.array(ids, np.uint32))
+        assert token_files.unpack_blocks(*packed)[: len(ids)].tolist() == ids
+        for block, width in zip(np.array_split(np.array(ids, np.int64), max(1, len(packed[0]))), packed[1]):
+            low = np.sort(np.concatenate([block - block.min(), np.zeros(-len(block) % 128, np.int64)]))
+            assert width == int(low[115]).bit_length()

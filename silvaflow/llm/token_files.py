@@ -40,10 +40,23 @@ HEAD = struct.Struct("<4s5Iq")
 FILE_SCHEMA = "range int, segment int, before long, first_doc long, n_docs int, n_tokens long, payload binary"
 #: Ids that a segment holds at least, but for a partition's last.
 SEGMENT_TOKENS = 2_000_000
+#: Blocks whose bits are moved at a time, so that they stay in a core's cache.
+PART_BLOCKS = 1024
 
 
-def _bits(width: int) -> int:
-    return 16 if width <= 16 else 32
+def _overlaps(width: int):
+    """(i, j, shift): of every eight values, width bytes when packed, value i shares bits with byte j if shifted left by shift (right, if negative)."""
+    for i in range(8):
+        for j in range(i * width // 8, -(-(i + 1) * width // 8)):
+            yield i, j, 8 * (j + 1) - (i + 1) * width
+
+
+def _shifted(values: np.ndarray, by: int) -> np.ndarray:
+    return values << np.uint32(by) if by >= 0 else values >> np.uint32(-by)
+
+
+def _parts(rows: np.ndarray):
+    return np.array_split(rows, -(-len(rows) // PART_BLOCKS))
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9):
@@ -65,30 +78,33 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9):
     sizes = widths.astype(np.int64) * block // 8
     starts = np.cumsum(sizes) - sizes
     packed = np.zeros(int(sizes.sum()), np.uint8)
-    high = (rest.astype(np.uint64) >> widths[:, None].astype(np.uint64)).astype(np.uint32)
+    high = rest >> widths[:, None].astype(np.uint32)
     at, place = np.nonzero(high)
-    for w in np.unique(widths):
+    for w in map(int, np.unique(widths)):
         if not w:
             continue
-        rows, wide = np.flatnonzero(widths == w), _bits(w)
-        for part in np.array_split(rows, max(1, len(rows) // 4096)):
-            low = rest[part] & np.uint32((1 << int(w)) - 1)
-            bits = np.unpackbits(low.astype(f">u{wide // 8}").view(np.uint8).reshape(len(part), block, wide // 8), axis=2)
-            packed[starts[part][:, None] + np.arange(sizes[part[0]])] = np.packbits(bits[:, :, wide - int(w) :].reshape(len(part), -1), axis=1)
+        into = np.lib.stride_tricks.sliding_window_view(packed, w * block // 8, writeable=True)
+        for part in _parts(np.flatnonzero(widths == w)):
+            low = (rest[part] & np.uint32((1 << w) - 1)).reshape(-1, 8)
+            bits = np.zeros((len(low), w), np.uint8)
+            for i, j, shift in _overlaps(w):
+                bits[:, j] |= _shifted(low[:, i], shift).astype(np.uint8)
+            into[starts[part]] = bits.reshape(len(part), -1)
     return minima, widths, np.bincount(at, minlength=n).astype(np.uint16), starts.astype(np.uint32), packed, place.astype(np.uint16), high[at, place]
 
 
 def unpack_blocks(minima, widths, counts, starts, packed, places, high, block: int = BLOCK) -> np.ndarray:
     out = np.zeros((len(minima), block), np.uint32)
-    for w in np.unique(widths):
+    for w in map(int, np.unique(widths)):
         if not w:
             continue
-        rows, wide, size = np.flatnonzero(widths == w), _bits(w), int(w) * block // 8
-        for part in np.array_split(rows, max(1, len(rows) // 4096)):
-            bits = np.unpackbits(packed[starts[part].astype(np.int64)[:, None] + np.arange(size)], axis=1).reshape(len(part), block, int(w))
-            wider = np.zeros((len(part), block, wide), np.uint8)
-            wider[:, :, wide - int(w) :] = bits
-            out[part] = np.packbits(wider, axis=2).view(f">u{wide // 8}").reshape(len(part), block)
+        held = np.lib.stride_tricks.sliding_window_view(packed, w * block // 8)
+        for part in _parts(np.flatnonzero(widths == w)):
+            bits = held[starts[part]].reshape(-1, w).astype(np.uint32)
+            low = np.zeros((len(bits), 8), np.uint32)
+            for i, j, shift in _overlaps(w):
+                low[:, i] |= _shifted(bits[:, j], -shift)
+            out[part] = (low & np.uint32((1 << w) - 1)).reshape(len(part), block)
     at = np.repeat(np.arange(len(minima)), counts)
     out[at, places] |= high << widths[at].astype(np.uint32)
     return (out + minima[:, None]).reshape(-1)

@@ -170,7 +170,7 @@ class Encoder:
         lists = self._cut([t for t, ok in zip(texts, certain) if ok])
         coded = lists.flatten().dictionary_encode()
         self.chunks.trim()
-        found = [self.chunks[c] for c in coded.dictionary.to_pylist()]
+        found = [self.chunks[c] for c in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]  # to_pylist() makes a scalar of each
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
         which = coded.indices.to_numpy(zero_copy_only=False)

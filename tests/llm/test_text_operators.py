@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -161,6 +162,31 @@ def test_blocks_round_trip(n):
         assert (s.read(a, b) == ids[a:b]).all()
 
 
+def test_blocks_are_moved_without_a_matrix_of_bits():
+    """The layout is that of such a matrix, highest bits first; the bits of a few blocks are in memory at once."""
+    rng = np.random.default_rng(7)
+
+    def matrix(ids, widths):
+        bits = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(len(widths), 128, 4), axis=2)
+        return [np.packbits(b[:, 32 - w :]) for b, w in zip(bits, widths.tolist())]
+
+    ids = np.concatenate([rng.integers(0, 2**w, 128, dtype=np.uint64) for w in [*range(33)] * 3]).astype(np.uint32)
+    minima, widths, counts, starts, packed, *_ = parts = token_files.pack_blocks(ids, percentile=1.0)
+    assert set(widths.tolist()) >= set(range(1, 32)) and not counts.any()
+    rest = ids.reshape(-1, 128) - minima[:, None]
+    assert np.concatenate(matrix(rest, widths)).tobytes() == packed.tobytes()
+    assert (token_files.unpack_blocks(*parts) == ids).all()
+
+    ids = rng.integers(0, 49_000, 2_000_000).astype(np.uint32)
+    parts = token_files.pack_blocks(ids)
+    for run, most in ((lambda: token_files.pack_blocks(ids), 18), (lambda: token_files.unpack_blocks(*parts), 12)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(ids)  # bytes
+
+
 # top-k
 
 
